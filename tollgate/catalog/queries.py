@@ -48,7 +48,8 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("long")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            col = F.round(col.cast("double"), 6) + F.lit(0.0)
+            # Half up by plain arithmetic: engines disagree on round() for exact halves.
+            col = F.floor(col.cast("double") * 1e6 + 0.5).cast("double") / 1e6
         cols.append(col.alias(f.name))
     return df.select(*cols)
 

@@ -44,9 +44,10 @@ def ramp_intercept(df: DataFrame, z: str, beta: float, share: float = 0.5, low:
     while high - low > tolerance:
         step = (high - low) / (fan + 1)
         candidates = [low + step * (i + 1) for i in range(fan)]
-        means = df.agg(*[F.avg(1 / (1 + F.exp(-(F.lit(a) + F.lit(beta) * F.col(z))))).alias(f"a{i}")
-                         for i, a in enumerate(candidates)]).first()
-        below = sum(1 for i in range(fan) if means[f"a{i}"] < share)
+        # Candidates meet rows in the map task; one line per candidate is shuffled.
+        tried = df.select(z, F.explode(F.lit(candidates)).alias("a")).groupBy("a").agg(
+            F.avg(1 / (1 + F.exp(-(F.col("a") + F.lit(beta) * F.col(z))))).alias("mean"))
+        below = sum(r["mean"] < share for r in tried.collect())
         new_low = candidates[below - 1] if below else low
         new_high = candidates[below] if below < fan else high
         if (new_low, new_high) == (low, high):

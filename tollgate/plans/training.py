@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tollgate.functions.scalars import feature_columns, leaked_columns
 from tollgate.operators.encoders import median_impute, one_hot, standardise
 
+DOMINANT_PCT = 30
 MISSING = -1e9  # below every feature value: one split isolates the missing rows
 
 
@@ -98,10 +99,11 @@ def ranked_share(df: DataFrame, name: str, value: str) -> DataFrame:
     """Share and running share of a result-sized ranking; equal values in name order."""
     whole = Window.partitionBy()
     down = Window.orderBy(F.col(value).desc(), F.col(name)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(value).over(whole)
-    return df.select(name, value, (100.0 * F.try_divide(F.col(value), total)).alias("pct"),
-                     (100.0 * F.try_divide(F.sum(value).over(down), total)).alias("cum_pct")).withColumn(
-        "dominates", F.col("pct") > 30)
+    total = F.sum(value).over(whole).cast("double")
+    running = F.sum(value).over(down).cast("double")
+    return df.select(name, value, (100.0 * F.try_divide(F.col(value).cast("double"), total)).alias("pct"),
+                     (100.0 * F.try_divide(running, total)).alias("cum_pct")).withColumn(
+        "dominates", F.col("pct") > DOMINANT_PCT)
 
 
 def linear_matrix(df: DataFrame, features: Features, train: Column) -> tuple[DataFrame, list[str]]:
