@@ -1,8 +1,4 @@
-"""Feature encoders fitted on a subset of rows.
-
-Lookups are left joins without hints: the adaptive planner broadcasts a lookup once its measured
-size allows it and splits a skewed side otherwise.
-"""
+"""Feature encoders fitted on a subset of rows. Lookups are broadcast only at a checked size."""
 
 from __future__ import annotations
 
@@ -13,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tollgate.operators.ordering import exact_quantiles, global_rank
 from tollgate.operators.profile import level_counts
+from tollgate.operators.skew import join_keys
+from tollgate.session import pinned
 
 # Level limits of count encoding and of one-hot columns.
 MIN_COUNTED_LEVELS = 20
@@ -23,8 +21,8 @@ def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFr
     """Integer code of each level in sort order from 1; missing is 0. Fitted on all rows."""
     out = out or f"{column}_code"
     levels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__level")).distinct()
-    codes = global_rank(levels, [F.col("__level")], out).select("__level", out)
-    joined = df.join(codes, F.col(column) == F.col("__level"), "left").drop("__level")
+    codes = pinned(global_rank(levels, [F.col("__level")], out).select(F.col("__level").alias(column), out))
+    joined = join_keys(df, codes, column)
     return joined.withColumn(out, F.coalesce(out, F.lit(0)).cast("int"))
 
 
@@ -42,8 +40,7 @@ def count_encode(df: DataFrame, columns: Sequence[str], fit: Column, min_levels:
     past = df.where(fit)
     for c in columns:
         if has_levels(past, c, min_levels):
-            counts = level_counts(past, c).select(F.col("level").alias("__level"), F.col("n").alias(f"{c}{suffix}"))
-            df = df.join(counts, F.col(c) == F.col("__level"), "left").drop("__level")
+            df = join_keys(df, level_counts(past, c).select(F.col("level").alias(c), F.col("n").alias(f"{c}{suffix}")), c)
     return df
 
 
@@ -52,9 +49,8 @@ def one_hot(df: DataFrame, column: str, fit: Column | None = None, max_levels: i
     """0/1 column per level plus one for null; a column with too many fitted levels is counted instead."""
     fitted = df if fit is None else df.where(fit)
     if has_levels(fitted, column, max_levels + 1):
-        counts = level_counts(fitted, column).select(
-            F.col("level").alias("__level"), F.col("n").alias(f"{column}_cnt"))
-        out = df.join(counts, F.col(column) == F.col("__level"), "left").drop("__level")
+        counts = level_counts(fitted, column).select(F.col("level").alias(column), F.col("n").alias(f"{column}_cnt"))
+        out = join_keys(df, counts, column)
         return (out if keep else out.drop(column)), [f"{column}_cnt"]
     levels = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string"))
                     .distinct().limit(10 * max_levels).collect())

@@ -256,28 +256,26 @@ def adjustment_gain(df: DataFrame, value: str, covariates: Sequence[str] = COVAR
 
 
 def standardised_differences(df: DataFrame, columns: Sequence[str], treated: Column,
-                             weight: Column | None = None) -> DataFrame:
-    """Standardised mean difference of every column in one aggregate; zero for a constant column."""
+                             weight: Column | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """Standardised mean difference of every column; zero for a constant column.
+
+    Values are laid out as (covariate, value) inside the map task and pre-aggregated there, so the
+    plan does not grow with the number of covariates.
+    """
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    aggs = []
-    for tag, cond in (("a", treated), ("b", ~treated)):
-        aggs.append(F.sum(F.when(cond, w).otherwise(0.0)).alias(f"n_{tag}"))
-        for i, c in enumerate(columns):
-            x = F.col(c).cast("double")
-            aggs += [F.sum(F.when(cond, w * x)).alias(f"s{i}_{tag}"),
-                     F.sum(F.when(cond, w * x * x)).alias(f"q{i}_{tag}")]
-    t = df.agg(*aggs)
-
-    def mean(i: int, tag: str) -> Column:
-        return F.try_divide(F.col(f"s{i}_{tag}"), F.col(f"n_{tag}"))
-
-    rows = []
-    for i, c in enumerate(columns):
-        var = [sample_variance(F.col(f"n_{x}"), F.col(f"s{i}_{x}"), F.col(f"q{i}_{x}")) for x in "ab"]
-        sd = F.sqrt((var[0] + var[1]) / 2)
-        rows.append(F.struct(F.lit(c).alias("covariate"),
-                             F.when(sd > 1e-12, (mean(i, "a") - mean(i, "b")) / sd).otherwise(0.0).alias("smd")))
-    return t.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    cells = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*group, treated.alias("__a"), w.alias("__w"), F.explode(cells).alias("c")).select(
+        *group, "__a", "__w", "c.*")
+    wx = F.col("__w") * F.col("x")
+    sums = []
+    for tag, cond in (("a", F.col("__a")), ("b", ~F.col("__a"))):
+        sums += [F.sum(F.when(cond, F.col("__w")).otherwise(0.0)).alias(f"n_{tag}"), F.sum(F.when(cond, wx)).alias(f"s_{tag}"),
+                 F.sum(F.when(cond, wx * F.col("x"))).alias(f"q_{tag}")]
+    t = long.groupBy(*group, "covariate").agg(*sums)
+    mean = {x: F.try_divide(F.col(f"s_{x}"), F.col(f"n_{x}")) for x in "ab"}
+    var = {x: sample_variance(F.col(f"n_{x}"), F.col(f"s_{x}"), F.col(f"q_{x}")) for x in "ab"}
+    sd = F.sqrt((var["a"] + var["b"]) / 2)
+    return t.select(*group, "covariate", F.when(sd > 1e-12, (mean["a"] - mean["b"]) / sd).otherwise(0.0).alias("smd"))
 
 
 def paired_test(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -85,8 +85,8 @@ def propensity_logit(df: DataFrame, covariates: Sequence[str], treated: str = "t
         df.withColumn("__t", F.col(treated).cast("double")))
     n = df.count()
     model = LogisticRegression(featuresCol="__x", labelCol="__t", probabilityCol="__p", rawPredictionCol="__r",
-                               predictionCol="__c", maxIter=200, regParam=1.0 / n, elasticNetParam=0.0,
-                               standardization=False, tol=1e-9).fit(vectors)
+                               predictionCol="__c", maxIter=100, regParam=1.0 / n, elasticNetParam=0.0,
+                               standardization=False, tol=1e-8).fit(vectors)
     p = F.greatest(F.lit(SCORE_CLIP), F.least(F.lit(1 - SCORE_CLIP), vector_to_array("__p")[1]))
     scored = model.transform(vectors).withColumn("propensity", p)
     return scored.withColumn(out, F.log(F.col("propensity") / (1 - F.col("propensity")))).drop(
@@ -144,11 +144,13 @@ def balance(df: DataFrame, matched: DataFrame, covariates: Sequence[str], treate
     uses = kept.select(F.col(row_id).alias("__id"), F.lit(1).alias("__side")).unionByName(
         kept.select(F.col("control_id").alias("__id"), F.lit(0).alias("__side"))).groupBy("__id", "__side").agg(
         F.count("*").alias("__w"))
-    after_rows = df.join(uses, F.col(row_id) == F.col("__id"))
-    before = standardised_differences(df, covariates, F.col(treated) == 1).withColumnRenamed("smd", "smd_before")
-    after = standardised_differences(after_rows, covariates, F.col("__side") == 1, F.col("__w")).withColumnRenamed(
-        "smd", "smd_after")
-    return before.join(after, "covariate")
+    narrow = df.select(row_id, *covariates, F.col(treated).alias("__t"))
+    after = narrow.join(uses, F.col(row_id) == F.col("__id")).select(
+        F.lit("smd_after").alias("stage"), F.col("__side").alias("side"), "__w", *covariates)
+    before = narrow.select(F.lit("smd_before").alias("stage"), F.col("__t").alias("side"),
+                           F.lit(1).cast("long").alias("__w"), *covariates)
+    both = standardised_differences(before.unionByName(after), covariates, F.col("side") == 1, F.col("__w"), ["stage"])
+    return both.groupBy("covariate").pivot("stage", ["smd_before", "smd_after"]).agg(F.first("smd"))
 
 
 def overlap_histogram(df: DataFrame, score: str = "propensity", arm: str = "t", bins: int = OVERLAP_BINS) -> DataFrame:

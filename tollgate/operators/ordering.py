@@ -12,14 +12,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.session import pinned, shuffle_width
+from tollgate.session import pinned
 
 RANGE_ID = "__range"
 
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Range-partition by ``order`` and fix the outcome, since two branches will read it."""
-    spread = df.repartitionByRange(shuffle_width(df), *order)
+    """Range-partition by ``order`` and fix the outcome, since two branches will read it.
+
+    No partition count is given, so the adaptive planner may merge neighbouring ranges to its
+    advisory size; ids still rise with the order.
+    """
+    spread = df.repartitionByRange(*order)
     return pinned(spread.withColumn(RANGE_ID, F.spark_partition_id()))
 
 

@@ -46,13 +46,18 @@ def account_size_stats(dim: DataFrame) -> DataFrame:
 
 
 def row_weighted_size(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    """Size of the account a typical row sits in."""
-    joined = fact.select("account_id").join(dim.select("account_id", "txn_count"), "account_id")
-    n = F.col("txn_count")
+    """Size of the account a typical row sits in.
+
+    Rows collapse to one weight per account before they meet the dimension, so a huge account is one
+    row of the join.
+    """
+    weights = fact.groupBy("account_id").agg(F.count("*").alias("w"))
+    joined = weights.join(dim.select("account_id", "txn_count"), "account_id")
+    n, w = F.col("txn_count"), F.col("w")
     return joined.agg(
-        F.percentile(n, F.lit(0.5)).alias("txn_weighted_median"),
-        mean_of(F.sum(n), F.count("*")).alias("txn_weighted_mean"),
-        (100.0 * ratio_or_null(F.count_if(n > 1), F.count("*"))).alias("pct_txns_in_multi"))
+        F.percentile(n, F.lit(0.5), w).alias("txn_weighted_median"),
+        mean_of(F.sum(n * w), F.sum(w)).alias("txn_weighted_mean"),
+        (100.0 * ratio_or_null(F.sum(F.when(n > 1, w).otherwise(0)), F.sum(w))).alias("pct_txns_in_multi"))
 
 
 def account_size_histogram(dim: DataFrame) -> DataFrame:

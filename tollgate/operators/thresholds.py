@@ -37,13 +37,17 @@ def outcome_cells(df: DataFrame, thresholds: Sequence[float], score: str = "scor
         F.sum(F.when(bad, nothing).otherwise(F.col(amount))).alias("amt_good")))
 
 
+def _ladder(df: DataFrame, values: Sequence[float], index: str, name: str) -> DataFrame:
+    """One row per sorted value, numbered from 1, and a row 0 below the first."""
+    at = F.get(F.lit([float(v) for v in values]), (F.col("id") - 1).cast("int"))
+    return df.sparkSession.range(len(values) + 1).select(F.col("id").cast("int").alias(index), at.alias(name))
+
+
 def outcomes(df: DataFrame, thresholds: Sequence[float] | None = None, **columns: str) -> DataFrame:
     """Confusion counts and dollars at every threshold; a score equal to it is declined."""
     thresholds = list(thresholds or threshold_grid())
     cells = outcome_cells(df, thresholds, **columns)
-    spark = df.sparkSession
-    ladder = spark.createDataFrame(
-        [(i, float(t)) for i, t in enumerate([float("nan"), *thresholds])], "cell int, threshold double")
+    ladder = _ladder(df, thresholds, "cell", "threshold")
     # Result-sized: one row per threshold.
     filled = ladder.join(cells, "cell", "left").na.fill(0)
     above = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -154,7 +158,8 @@ def targeted(rows: DataFrame, accounts: DataFrame, cutoffs: Sequence[float]) ->
     """Challenger policy only for accounts at or above a risk cut-off, champion below.
 
     ``accounts`` has ``account_id, risk, y_champ, y_chal``; ``rows`` has ``account_id, is_fraud,
-    transaction_amt, dec_champ, dec_chal``. Both sides collapse to one line per risk band first.
+    transaction_amt, dec_champ, dec_chal``. Rows collapse to one line per account before the join, and
+    accounts to one line per risk band after it.
     """
     cutoffs = sorted(cutoffs)
     cut = Bucketizer(splits=[float("-inf"), *cutoffs, float("inf")], inputCol="risk", outputCol="__band")
@@ -165,15 +170,16 @@ def targeted(rows: DataFrame, accounts: DataFrame, cutoffs: Sequence[float]) ->
     good, bad = F.col("is_fraud") == 0, F.col("is_fraud") == 1
     none = F.lit(0).cast("decimal(18,3)")
     amt = F.col("transaction_amt").cast("decimal(18,3)")
-    by_row = rows.join(banded.select("account_id", "band"), "account_id").groupBy("band").agg(
+    per_account = rows.groupBy("account_id").agg(
         F.count_if(good).alias("good"),
         F.count_if(good & F.col("dec_champ")).alias("gd_champ"),
         F.count_if(good & F.col("dec_chal")).alias("gd_chal"),
         F.sum(F.when(bad & F.col("dec_champ"), amt).otherwise(none)).alias("caught_champ"),
         F.sum(F.when(bad & F.col("dec_chal"), amt).otherwise(none)).alias("caught_chal"))
+    by_row = per_account.join(banded.select("account_id", "band"), "account_id").groupBy("band").agg(
+        *[F.sum(c).alias(c) for c in ("good", "gd_champ", "gd_chal", "caught_champ", "caught_chal")])
     # Result-sized from here: one row per band.
-    ladder = rows.sparkSession.createDataFrame(
-        [(i, float(c)) for i, c in enumerate([float("nan"), *cutoffs])], "band int, risk_cutoff double")
+    ladder = _ladder(rows, cutoffs, "band", "risk_cutoff")
     t = ladder.join(by_account, "band", "left").join(by_row, "band", "left")
     up = Window.orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, 0)
     low = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions.scalars import mean_of, ratio_or_null
+from tollgate.operators.skew import join_keys
+from tollgate.session import pinned
 
 # Look-back horizons in seconds.
 HORIZONS = {"1h": 3_600, "24h": 86_400, "7d": 604_800}
-HOT_ROWS = 50_000
+HOT_ROWS = 20_000
 SLOT_SECONDS = 3_600
 
 
@@ -100,12 +102,13 @@ def velocity(df: DataFrame, key: str = "account_id", ts: str = "transaction_dt",
              amt: str = "transaction_amt", horizons: Mapping[str, int] = HORIZONS,
              hot_rows: int = HOT_ROWS, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Add the prior count, sum, mean, previous time, look-back counts, ratio and gap columns."""
-    sizes = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-    if sizes.isEmpty():
+    large = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    if large.isEmpty():
         out = _by_window(df, key, ts, amt, horizons)
     else:
-        out = _by_window(df.join(sizes, key, "left_anti"), key, ts, amt, horizons).unionByName(
-            _by_slots(df.join(sizes, key, "left_semi"), key, ts, amt, horizons, slot_seconds))
+        large = pinned(large)
+        out = _by_window(join_keys(df, large, key, "left_anti"), key, ts, amt, horizons).unionByName(
+            _by_slots(join_keys(df, large, key, "left_semi"), key, ts, amt, horizons, slot_seconds))
     return with_derived(out, ts, amt).select(*df.columns, *feature_names(horizons))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.keys import account_key, is_degraded
 from tollgate.functions.scalars import (DAY_OFFSETS, hour_of, log_amount, rebased_offsets, weekday_of)
+from tollgate.operators.skew import join_keys
 from tollgate.operators.velocity import HORIZONS, velocity
 from tollgate.session import pinned
 from tollgate.sources.tables import write_parquet
@@ -54,7 +55,7 @@ def rebuilt_rows(txn: DataFrame, after_day: int, identity: DataFrame | None = No
     """
     keyed = with_key(txn, key)
     touched = keyed.where(F.col("txn_day") > after_day).select("account_id").distinct()
-    history = keyed.join(touched, "account_id", "left_semi").select(*txn.columns)
+    history = join_keys(keyed, touched, "account_id", "left_semi").select(*txn.columns)
     return build_fact(history, identity, key).where(F.col("txn_day") > after_day)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.functions.scalars import feature_columns, leaked_columns
-from tollgate.operators.encoders import median_impute, one_hot, standardise
+from tollgate.operators.encoders import category_codes, has_levels, median_impute, one_hot, standardise
 
 DOMINANT_PCT = 30
+TREE_LEVELS = 256
 MISSING = -1e9  # below every feature value: one split isolates the missing rows
 
 
@@ -62,24 +63,37 @@ def tree_ready(df: DataFrame, features: Features) -> DataFrame:
                            for c in features.names if c not in text})
 
 
-def boosted_pipeline(features: Features, settings: Boosting, label: str) -> Pipeline:
+def wide_text_coded(df: DataFrame, features: Features, limit: int = TREE_LEVELS) -> tuple[DataFrame, Features]:
+    """Replace text with more levels than a tree should split on by its integer code.
+
+    The codes come from a distributed lookup over all rows; only columns within the limit are left
+    to the indexer, which keeps its levels on the driver.
+    """
     text = list(features.text)
-    indexers = [StringIndexer(inputCols=text, outputCols=[f"x_{c}" for c in text], stringOrderType="alphabetAsc",
-                              handleInvalid="keep")] if text else []
-    trees = GBTClassifier(
-        featuresCol="__x", labelCol=label, validationIndicatorCol="__validation", maxIter=settings.rounds,
-        maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.row_share,
-        minInstancesPerNode=settings.min_leaf_rows, maxBins=settings.bins, seed=settings.seed,
-        featureSubsetStrategy=settings.feature_share)
-    return Pipeline(stages=[*indexers, VectorAssembler(inputCols=[f"x_{c}" for c in features.names], outputCol="__x"),
-                            trees])
+    for c in features.text:
+        if has_levels(df, c, limit + 1):
+            df = category_codes(df, c, "__code").drop(c).withColumnRenamed("__code", c)
+            text.remove(c)
+    return df, Features(features.names, text)
 
 
 def fit_boosted(df: DataFrame, features: Features, train: Column, early_stop: Column,
                 settings: Boosting = Boosting(), label: str = "is_fraud") -> PipelineModel:
     rows = tree_ready(df.where(train | early_stop), features).withColumns(
         {"__validation": early_stop, label: F.col(label).cast("double")})
-    return boosted_pipeline(features, settings, label).fit(rows)
+    text, stages, widest = list(features.text), [], 0
+    if text:
+        indexer = StringIndexer(inputCols=text, outputCols=[f"x_{c}" for c in text], stringOrderType="alphabetAsc",
+                                handleInvalid="keep").fit(rows)
+        widest = max(len(levels) for levels in indexer.labelsArray) + 1
+        stages.append(indexer)
+    trees = GBTClassifier(
+        featuresCol="__x", labelCol=label, validationIndicatorCol="__validation", maxIter=settings.rounds,
+        maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.row_share,
+        minInstancesPerNode=settings.min_leaf_rows, maxBins=max(settings.bins, widest), seed=settings.seed,
+        featureSubsetStrategy=settings.feature_share)
+    assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features.names], outputCol="__x")
+    return Pipeline(stages=[*stages, assembler, trees]).fit(rows)
 
 
 def score_boosted(model: PipelineModel, df: DataFrame, features: Features, out: str = "score_raw") -> DataFrame:
@@ -133,6 +147,3 @@ def score_linear(model, df: DataFrame, names: Sequence[str], out: str = "score_r
     scored = model.transform(VectorAssembler(inputCols=list(names), outputCol="__x").transform(df))
     keep = [c for c in df.columns if c not in names]
     return scored.withColumn(out, vector_to_array("probability")[1]).select(*keep, out)
-
-
-Transform = Callable[[DataFrame, Column], DataFrame]

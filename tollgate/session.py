@@ -38,8 +38,3 @@ def pinned(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tollgate-checkpoint-"))
     return df.checkpoint()
-
-
-def shuffle_width(df: DataFrame) -> int:
-    """Number of partitions an explicit range exchange should make."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
