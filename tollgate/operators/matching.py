@@ -187,6 +187,11 @@ def sensitivity_z(pairs: DataFrame, diff: str = "diff", gammas: Sequence[float]
 
 
 def sensitivity_bounds(pairs: DataFrame, diff: str = "diff", gammas: Sequence[float] = GAMMAS) -> DataFrame:
+    """Tail probabilities per gamma, under the names of the registered report.
+
+    The report takes the smaller null mean for its "upper" column, so with this sign convention that
+    column falls as gamma grows. The definition is kept so that results compare.
+    """
     return sensitivity_z(pairs, diff, gammas).select(
         "gamma", "pairs", upper_tail("z_worst").alias("p_upper_bound"), upper_tail("z_best").alias("p_lower_bound"))
 
