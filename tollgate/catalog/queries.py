@@ -453,9 +453,11 @@ def extremes(spark, d):
     """Closed forms of both extreme policies next to their swept cost."""
     p = Th.compare_policies(transactions(spark, d)).where(F.col("policy").like("% everything"))
     decline = F.col("policy") == "decline everything"
-    closed = F.when(decline, F.col("amt_fp") * Decimal("0.025") + F.col("fp") * Decimal("10")
-                    + (F.col("tp") + F.col("fp")) * Decimal("2")).otherwise(
-        F.col("amt_fn") + F.col("fn") * Decimal("25"))
+    all_declined = (F.col("amt_fp") * Decimal("0.025") + F.col("fp") * Decimal("10")
+                    + (F.col("tp") + F.col("fp")) * Decimal("2"))
+    all_approved = F.col("amt_fn") + F.col("fn") * Decimal("25")
+    # Cast before merging: two wide decimals would otherwise meet at the coarser scale.
+    closed = F.when(decline, all_declined.cast("decimal(38,6)")).otherwise(all_approved.cast("decimal(38,6)"))
     return p.select("policy", "cost", closed.alias("closed_form"), (F.col("cost") - closed).alias("difference"))
 
 

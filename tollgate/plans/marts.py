@@ -13,7 +13,7 @@ from tollgate.functions.scalars import (DAY_OFFSETS, hour_of, log_amount, rebase
 from tollgate.operators.skew import join_keys
 from tollgate.operators.velocity import HORIZONS, velocity
 from tollgate.session import pinned
-from tollgate.sources.tables import write_parquet
+from tollgate.sources.tables import packed, write_parquet
 
 KeyFunction = Callable[[], tuple[Column, Column]]
 
@@ -54,7 +54,7 @@ def rebuilt_rows(txn: DataFrame, after_day: int, identity: DataFrame | None = No
     a new row: the account is the partition key, so other accounts cannot change the result.
     """
     keyed = with_key(txn, key)
-    touched = keyed.where(F.col("txn_day") > after_day).select("account_id").distinct()
+    touched = pinned(keyed.where(F.col("txn_day") > after_day).select("account_id").distinct())
     history = join_keys(keyed, touched, "account_id", "left_semi").select(*txn.columns)
     return build_fact(history, identity, key).where(F.col("txn_day") > after_day)
 
@@ -92,7 +92,7 @@ def load_new_days(txn: DataFrame, path: str, identity: DataFrame | None = None,
     rewritten = stored.where(F.col("txn_day").isin(days) & (F.col("txn_day") <= start)).join(
         fresh.select("transaction_id"), "transaction_id", "left_anti") if days else None
     batch = fresh if rewritten is None else fresh.unionByName(pinned(rewritten), allowMissingColumns=True)
-    (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (packed(batch, ["txn_day"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "snappy").partitionBy("txn_day").parquet(path))
     return loaded_through(spark, path)
 

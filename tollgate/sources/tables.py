@@ -29,7 +29,12 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Idempotent full replace."""
-    df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+    packed(df, partition_by).write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+
+
+def packed(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Gather each output partition into files of the advisory size, splitting oversized ones."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
 
 
 def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str, seconds: str | None = None,
