@@ -486,6 +486,35 @@ oracle("paired_test", ROWS, """SELECT *, mean_diff / se AS t FROM (SELECT count(
   stddev_samp(d) / sqrt(count(*)) AS se, count(*) FILTER (d < 0) AS wins FROM (SELECT CAST(sum(c_chal) AS DOUBLE) - CAST(sum(c_champ) AS DOUBLE)
   AS d FROM replay GROUP BY txn_day))""", "n:n mean_diff:m sd_diff:m se:m t:m wins:n")
 
+oracle("cost_clustering", ROWS + ["""per AS (SELECT account_id, count(*) AS n, CAST(sum(c_champ) AS DOUBLE) AS s,
+  CAST(sum(c_champ * c_champ) AS DOUBLE) AS q FROM replay GROUP BY 1)""",
+                                  """tot AS (SELECT count(*) AS k, sum(n) AS m, sum(n * n) AS nn, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM per)""",
+                                  """parts2 AS (SELECT *, (b - s * s / m) / (k - 1) AS msb, (q - b) / (m - k) AS msw, (m - CAST(nn AS DOUBLE) / m) / (k - 1) AS n0
+  FROM tot)"""],
+       """SELECT k AS clusters, m AS rows, CAST(m AS DOUBLE) / k AS mean_size, icc, 1 + (CAST(m AS DOUBLE) / k - 1) * icc AS design_effect
+  FROM (SELECT *, (msb - msw) / (msb + (n0 - 1) * msw) AS icc FROM parts2)""",
+       "clusters:n rows:n mean_size:m icc:m design_effect:m")
+oracle("detectable_effect", ACC, """SELECT *, 2 * sd / sqrt(n) AS se, 2.8015852180728764::DOUBLE * (2 * sd / sqrt(n)) AS mde,
+  2.8015852180728764::DOUBLE * (2 * sd / sqrt(n)) * n AS mde_total FROM (SELECT count(*) AS n, sqrt((CAST(sum(y_champ * y_champ) AS DOUBLE)
+  - CAST(sum(y_champ) AS DOUBLE) * CAST(sum(y_champ) AS DOUBLE) / count(*)) / (count(*) - 1)) AS sd FROM acc)""",
+       "n:n sd:m se:m mde:m mde_total:m")
+oracle("covariate_value", ACC, " UNION ALL ".join(
+    f"SELECT '{c}' AS covariate, corr({c}, CAST(y_champ AS DOUBLE)) AS correlation, power(corr({c}, CAST(y_champ AS DOUBLE)), 2) AS variance_reduction, "
+    f"sqrt(1 - power(corr({c}, CAST(y_champ AS DOUBLE)), 2)) AS mde_factor FROM acc" for c in ("pre_value", "pre_n", "pre_fraud", "pre_mean_amt")),
+       "covariate correlation:m variance_reduction:m mde_factor:m")
+_RULE = "(1 - score) * (CAST(transaction_amt AS DOUBLE) * 0.025::DOUBLE + 10) + 2 < score * (CAST(transaction_amt AS DOUBLE) + 25)"
+oracle("expected_cost_rule", ROWS, f"""SELECT sum({cost_of(_RULE)}) AS rule_cost, sum(c_chal) AS threshold_cost,
+  sum({cost_of(_RULE)}) - sum(c_chal) AS difference, count(*) AS n, CAST(sum({cost_of(_RULE)}) AS DOUBLE) / count(*) AS rule_cost_per_row FROM replay""",
+       "rule_cost:m threshold_cost:m difference:m n:n rule_cost_per_row:m")
+oracle("ship_decision", ROWS + ACC[len(ROWS):] + GOOD + [
+    f"w AS ({welch_of('acc')})", f"g AS (SELECT ratio + 1.645::DOUBLE * se < 0.08::DOUBLE AS ok FROM ({ratio_of('good', 'arm')}) WHERE arm = 'challenger')",
+    "c AS (SELECT abs(diff / se) > 1.959963984540054::DOUBLE AND diff < 0 AS c1, ci_high < 0 AS c2, ok AS c3, ci_low > 0 AS harm FROM w, g)"],
+       """SELECT 'primary significant and favourable' AS condition, CASE WHEN c1 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM c UNION ALL
+  SELECT 'upper end of the interval below zero', CASE WHEN c2 THEN 'PASS' ELSE 'FAIL' END FROM c UNION ALL
+  SELECT 'guardrail bound below the ceiling', CASE WHEN c3 THEN 'PASS' ELSE 'FAIL' END FROM c UNION ALL
+  SELECT 'decision', CASE WHEN c1 AND c2 AND c3 THEN 'SHIP' WHEN NOT c3 OR harm THEN 'DO NOT SHIP' ELSE 'INCONCLUSIVE' END FROM c""",
+       "condition outcome")
+
 # ---- bootstrap -----------------------------------------------------------------------------------
 
 
@@ -497,6 +526,11 @@ def weight_of(seed: str, key: str) -> str:
 REPS = "reps AS (SELECT unnest(range(8)) AS rep)"
 oracle("boot_cost_diff", ROWS + [REPS], f"""SELECT rep, sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS diff
   FROM replay CROSS JOIN reps WHERE c_chal <> c_champ GROUP BY rep""", "rep:n diff:m")
+oracle("boot_cost_interval", ROWS + ["many AS (SELECT unnest(range(200)) AS rep)",
+                                     f"""sums AS (SELECT rep, CAST(sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS DOUBLE) AS diff
+  FROM replay CROSS JOIN many WHERE c_chal <> c_champ GROUP BY rep)"""],
+       """SELECT avg(diff) AS boot_mean, quantile_cont(diff, 0.025) AS ci_low, quantile_cont(diff, 0.975) AS ci_high FROM sums""",
+       "boot_mean:m ci_low:m ci_high:m")
 oracle("boot_mean_diff", ACC + [REPS, f"w AS (SELECT rep, arm, y, {weight_of('42', 'account_id')} AS w FROM acc CROSS JOIN reps)"],
        """SELECT rep, CAST(sum(w * y) FILTER (arm = 'challenger') AS DOUBLE) / sum(w) FILTER (arm = 'challenger')
   - CAST(sum(w * y) FILTER (arm <> 'challenger') AS DOUBLE) / sum(w) FILTER (arm <> 'challenger') AS diff FROM w GROUP BY rep""",

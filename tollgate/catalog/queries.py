@@ -15,6 +15,7 @@ from tollgate.functions import hashing as H
 from tollgate.functions import keys as K
 from tollgate.functions import scalars as S
 from tollgate.operators import bootstrap as B
+from tollgate.operators import design as G
 from tollgate.operators import encoders as E
 from tollgate.operators import experiment as X
 from tollgate.operators import matching as M
@@ -708,6 +709,42 @@ def paired_test(spark, d):
     return X.paired_test(a, b, "txn_day", "cost")
 
 
+@query
+def cost_clustering(spark, d):
+    """Intra-account correlation of row cost and the design effect."""
+    return G.clustering(replay(spark, d), "c_champ")
+
+
+@query
+def detectable_effect(spark, d):
+    """Error of the arm difference and smallest detectable effect."""
+    return G.detectable_effect(accounts(spark, d))
+
+
+@query
+def covariate_value(spark, d):
+    """Variance each pre-period covariate would remove."""
+    return G.covariate_value(accounts(spark, d), ["pre_value", "pre_n", "pre_fraud", "pre_mean_amt"])
+
+
+@query
+def risk_explained(spark, d):
+    """Share of account risk explained by nested covariate sets."""
+    acc = pinned(accounts(spark, d))
+    pre = ["pre_value", "pre_n", "pre_fraud", "has_pre_period"]
+    sets = {"account size": ["n_txn"], "pre-period": pre, "pre-period and size": [*pre, "n_txn", "tot_amt"]}
+    return spark.createDataFrame([(name, G.explained_share(acc, "risk", cols)) for name, cols in sets.items()],
+                                 "covariates string, r_squared double")
+
+
+@query
+def expected_cost_rule(spark, d):
+    """Per-row expected-cost rule against the challenger threshold."""
+    rows = replay(spark, d).withColumn("c_rule", C.decision_cost(
+        G.expected_cost_decline(), F.col("is_fraud"), F.col("transaction_amt")))
+    return G.rule_against_threshold(rows, "c_chal", "c_rule")
+
+
 # ---- bootstrap -----------------------------------------------------------------------------------
 
 @query

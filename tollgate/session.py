@@ -20,6 +20,7 @@ def get_session(app: str = "tollgate", cpus: int | None = None) -> SparkSession:
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.parquet.compression.codec", "snappy")
         .getOrCreate()
     )
