@@ -79,6 +79,8 @@ def load_new_days(txn: DataFrame, path: str, identity: DataFrame | None = None,
     spark = txn.sparkSession
     through = loaded_through(spark, path)
     start = through if reprocess_from is None else min(through, reprocess_from - 1)
+    if txn.where(F.col("txn_day") > start).isEmpty():
+        return through
     fresh = rebuilt_rows(txn, start, identity, key)
     if through < 0:
         write_parquet(fresh, path, ["txn_day"])
