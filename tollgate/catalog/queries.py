@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,6 @@ from tollgate.operators import encoders as E
 from tollgate.operators import experiment as X
 from tollgate.operators import matching as M
 from tollgate.operators import metrics as Q
-from tollgate.operators import ordering as O
 from tollgate.operators import profile as P
 from tollgate.operators import quality as D
 from tollgate.operators import thresholds as Th
@@ -348,7 +347,7 @@ def dq_row_count(spark, d):
 
 @query
 def dq_leakage(spark, d):
-    """First rows with look-back values; the streams are shifted by a day so that some exist."""
+    """First rows with look-back values: none in the real feed, one per account once the count is raised by one."""
     fact = V.velocity(keyed(spark, d))
     clean = D.leaking_first_rows(fact).select(F.lit("clean").alias("feed"), "transaction_id", "prior_txn_count")
     broken = fact.withColumn("prior_txn_count", F.col("prior_txn_count") + 1)

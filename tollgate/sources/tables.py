@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -155,7 +155,3 @@ def aligned(df: DataFrame, ids: DataFrame, key: str = "transaction_id") -> DataF
     if missing or wanted != found:
         raise ValueError(f"alignment on {key}: {wanted} ids, {found} rows, {missing} ids missing")
     return out
-
-
-def casts(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
