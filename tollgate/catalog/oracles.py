@@ -264,9 +264,11 @@ oracle("policy_compare", POLICIES, "SELECT *, cost - (SELECT cost FROM best) AS
 oracle("dollars_caught", POLICIES, """SELECT policy, amt_tp AS caught, amt_tp + amt_fn AS bad_dollars,
   100.0::DOUBLE * CAST(amt_tp AS DOUBLE) / nullif(CAST(amt_tp + amt_fn AS DOUBLE), 0) AS pct_caught FROM policies""",
        "policy caught:m bad_dollars:m pct_caught:m")
-oracle("extremes", TXN, f"""SELECT 'decline everything' AS policy, sum({cost_of('true')}) AS cost, 0.025 * sum(transaction_amt)
-  FILTER (is_fraud = 0) + 10 * count(*) FILTER (is_fraud = 0) + 2 * count(*) AS closed_form, 0 AS difference FROM txn UNION ALL
-  SELECT 'approve everything', sum({cost_of('false')}), sum(transaction_amt) FILTER (is_fraud = 1) + 25 * sum(is_fraud), 0 FROM txn""",
+# Each branch is cast: a union of two wide decimals would round to the coarser scale.
+oracle("extremes", TXN, f"""SELECT 'decline everything' AS policy, sum({cost_of('true')}) AS cost, CAST(0.025 * sum(transaction_amt)
+  FILTER (is_fraud = 0) + 10 * count(*) FILTER (is_fraud = 0) + 2 * count(*) AS DECIMAL(38,6)) AS closed_form, 0 AS difference FROM txn UNION ALL
+  SELECT 'approve everything', sum({cost_of('false')}), CAST(sum(transaction_amt) FILTER (is_fraud = 1) + 25 * sum(is_fraud) AS DECIMAL(38,6)), 0
+  FROM txn""",
        "policy cost:m closed_form:m difference:m")
 oracle("threshold_sensitivity", SWEEP + [
     """three AS (SELECT 'optimum -20%' AS label, threshold * 0.8::DOUBLE AS threshold FROM best UNION ALL SELECT 'optimum', threshold FROM best
