@@ -16,6 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.llm.common import pinned
+from tollgate.operators.skew import join_keys
+
 Rule = tuple[str, str, str]
 
 # Host, path, verdict.
@@ -96,7 +99,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = R
     """Judge every page: its rule's verdict, else `block` if the host's bad rate is above `most` with confidence."""
     host, path = host_and_path(F.col("url"))
     name, says = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = pages.select("page_id", host.alias("host"), path.alias("path")).join(reputation(pages, outcomes, z), "host", "left")
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"))
+    known = pinned(reputation(pages, outcomes, z))
+    judged = join_keys(judged, known, "host")  # a host may hold a third of all pages
     method = F.when(F.col("bad_bound") > most, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", name.alias("rule"), F.coalesce(says, method).alias("verdict"),
                          "n_labelled", "n_bad", "bad_rate", "bad_bound")

@@ -152,7 +152,7 @@ def stratum(lang: Column) -> Column:
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Counts, base rule and verdict of every document."""
     stats = pinned(measured(docs))  # read twice: the texts are not
-    chosen = select_cutoffs(stats, labels, risk, delta).drop("n_good")
+    chosen = pinned(select_cutoffs(stats, labels, risk, delta).drop("n_good"))
     failed = [F.coalesce(F.col(name) >= F.col(name + "_cut"), F.lit(False)) for name, _, _ in GRID]
     fails = failed[0]
     for other in failed[1:]:
