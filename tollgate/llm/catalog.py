@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import extraction, pieces, reputation, rules
+from tollgate.llm import extraction, pieces, reputation, rules, simhash, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,16 @@ def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, and whether they decode to the text itself."""
     return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
