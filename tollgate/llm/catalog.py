@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import extraction, pieces, reputation, rules, simhash, toxicity
+from tollgate.llm import extraction, passages, pieces, reputation, rules, simhash, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes, removed runs and the digest of the rest of every document."""
+    cut = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
