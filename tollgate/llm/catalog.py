@@ -63,7 +63,7 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removed bytes, removed runs and the digest of the rest of every document."""
     cut = passages.remove_passages(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query

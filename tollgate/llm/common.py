@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,21 +75,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one is made here only for a local session that names none."""
+    named = session.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        set_ = session.sparkContext._jsc.sc().getCheckpointDir()
+        if set_.isDefined():
+            return set_.get()
+        if not session.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    return named
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; a folder is set here only where the session names none."""
-    session = df.sparkSession
-    context = session.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        named = session.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not session.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        session.sparkContext.setCheckpointDir(named)
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: compressed and read by column. It goes when the session ends."""
+    session = df.sparkSession
+    path = f"{shared_folder(session).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return session.read.schema(df.schema).parquet(path)
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -292,12 +292,12 @@ def array_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, d (order), t (tells rows of one doc_id apart; 0 where doc_ids are unique) and text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    """row (all columns but text), d (order), t (tells rows of one doc_id apart; 0 where doc_ids are unique) and text."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     unique = rows.groupBy("d").count().where("count > 1").isEmpty()
-    return rows.withColumn("t", F.lit(0).cast("long") if unique else F.xxhash64("text")).select("doc_id", "d", "t", "text")
+    return rows.withColumn("t", F.lit(0).cast("long") if unique else F.xxhash64("text")).select("row", "d", "t", "text")
 
 
 def spans(rows: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +311,7 @@ def spans(rows: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch, texts in chunks(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([pack.compress(x) for x in texts], pa.binary())],
-                                             ["doc_id", "d", "t", "z"])
+                                             ["row", "d", "t", "z"])
 
     n = parts(rows)
     phrase = rows.mapInArrow(parsing, "a bigint, p bigint, d bigint, t bigint, s int, e int, known boolean")
@@ -320,7 +320,7 @@ def spans(rows: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     listed = pinned(joined_spans(sieve.groupBy("d", "t").agg(
         F.collect_list(F.when(F.col("search"), F.struct("a", "s", "e"))).alias("search"),  # one document's own phrases
         F.collect_list(F.when(~F.col("search"), F.struct("s", "e"))).alias("gone"))))
-    packed = rows.mapInArrow(packing, "doc_id bigint, d bigint, t bigint, z binary").repartition(n, "d", "t")
+    packed = rows.mapInArrow(packing, rows.drop("text").withColumn("z", F.lit(b"")).schema).repartition(n, "d", "t")
     open_ = packed.select("d", "t", "z").join(listed.where(F.size("search") > 0).select("d", "t", "search").hint("merge"), ["d", "t"])
     found = (open_.mapInArrow(phrases, "a bigint, d bigint, t bigint, s int, bytes binary")
              .repartition(n, "a").sortWithinPartitions("a").mapInArrow(lambda b: searched(b, most), SPAN + ", string binary"))
@@ -367,22 +367,39 @@ def cut_spans(text: bytes, spans_: list[tuple[int, int]]) -> tuple[list[bytes],
 
 
 def remove_passages(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of every row."""
+    """row (all columns but text), kept (the remaining bytes), n_bytes, n_removed and n_spans of every row."""
     packed, gone = spans(identified(docs), most)
     listed = gone.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # one document's own spans
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def cutting(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
+            made: list[list] = [[], [], [], []]
             for z, spans_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = unpack.decompress(z)
                 kept, removed, runs = cut_spans(text, [(x["s"], x["e"]) for x in spans_ or []])
-                out.append((b"".join(kept), len(text), removed, runs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(
-                zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64())))] if out else [batch.column(0), *(
-                    pa.array([], k) for k in (pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
-                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return (packed.join(listed.hint("merge"), ["d", "t"], "left").select("doc_id", "z", "spans")
-            .mapInArrow(cutting, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"))
+                for column, value in zip(made, (b"".join(kept), len(text), removed, runs)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(made, kinds))],
+                                             ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+
+    rows = packed.join(listed.hint("merge"), ["d", "t"], "left").select("row", "z", "spans")
+    return rows.mapInArrow(cutting, rows.select("row", F.lit(b"").alias("kept"), *[
+        F.lit(0).cast("long").alias(x) for x in ("n_bytes", "n_removed", "n_spans")]).schema)
+
+
+def rewrite(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """`docs` with shortened texts. Bytes of characters that a cut split go too; a column n_chars is counted anew."""
+    cut = remove_passages(docs, most)
+
+    def decoding(batches):
+        for batch in batches:
+            texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
+
+    text = cut.select("row", "kept").mapInArrow(decoding, cut.select("row", F.lit("").alias("text")).schema)
+    counted = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        counted["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return text.select(*[counted.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -231,3 +231,16 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     return (join_keys(prints, known, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """`docs` with one row of every component: the one with the smallest doc_id."""
+    repeated = docs.groupBy(F.col("doc_id").alias("k")).count().where("count > 1 or k is null")
+    if repeated.isEmpty():
+        judged = near_duplicates(docs, most)
+        return join_keys(docs, judged.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    # Rows that doc_id does not tell apart are numbered; the numbers hold because the numbered rows are written out.
+    numbered = pinned(docs.withColumn("__row", F.monotonically_increasing_id()))
+    judged = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), most)
+    dropped = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
+    return join_keys(numbered, dropped, "__row", "left_anti").drop("__row")

@@ -192,3 +192,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
     return map_texts(rows, columns, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` without the rows that the model rejects."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches):
+        for batch, texts in chunks(batches):
+            yield batch.filter(pa.array([shared.value.score(x.decode()) < 0.5 for x in texts]))
+
+    return docs.mapInArrow(clean, docs.schema)
