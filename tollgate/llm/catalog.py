@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import extraction, leaks, passages, pieces, reputation, rules, simhash, toxicity
+from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, reputation, rules, simhash, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op5_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the best matching span."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every document."""
+    return bloomlm.score_texts(table(spark, sf_dir, "documents"))
