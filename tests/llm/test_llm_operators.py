@@ -47,7 +47,7 @@ def test_filter_never_forgets_and_rarely_invents():
     levels = rng.integers(1, 9, len(grams))
     shard = bloomlm.shard_of(grams, 3)
     parts = [(s, bloomlm.built(grams[shard == s] & bloomlm.KEEP, levels[shard == s])) for s in range(3)]
-    bloom = bloomlm.Filter(parts)
+    bloom = bloomlm.Filter([len(b) for _, b in parts], parts)
     found = bloom.levels(grams)
     assert (found >= levels).all() and (found == levels).mean() > 0.9
     assert (bloom.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
@@ -357,7 +357,7 @@ def test_components_of_chains_and_stars(spark):
 # ---- toxicity ----------------------------------------------------------------------------------------
 
 def test_held_out_accuracy(spark, sf):
-    where = sf.replace("0.001", "0.01")
+    where = sf.replace("sf0.001", "sf0.1")  # the smallest tables hold too few labels to learn from
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op10_counterfactual_toxicity"](spark, where).collect() if r.doc_id in labels]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)

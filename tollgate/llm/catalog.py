@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, reputation, rules, simhash, toxicity
+from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, reputation, revisits, rules, simhash, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,47 @@ def op4_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base score and model score of every document."""
     return bloomlm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base record, status and merged headers of every revisit among the archive records of the pages."""
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "canonical_url", "base_id", "status", F.array_join(F.array_sort(lines), "\n").alias("headers"))
+
+
+ORACLES["op6_not_modified_revisits"] = r"""
+WITH source AS (
+  SELECT CAST(page_id AS BIGINT) AS page, url, html, CAST(page_id AS BIGINT) * 10 AS born,
+         '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag FROM pages),
+-- crc32 of the page number, by the eight-step remainder of each byte
+digits AS (SELECT page, CAST(page AS VARCHAR) AS s FROM source),
+crc AS (
+  SELECT page, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END)), CAST(4294967295 AS BIGINT)) AS pick FROM digits),
+parts AS (
+  SELECT source.*, pick, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#[\s\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM source JOIN crc USING (page)),
+keyed AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www\.|:(80|443)$', '', 'g')
+    || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?([\s\S]*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS asked FROM parts),
+named AS (SELECT *, place || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS key FROM keyed),
+revisit AS (
+  SELECT page * 2 + 1 AS record_id, key, born + pick % 5000 + 1 AS ts,
+    CASE WHEN pick % 11 = 0 OR pick % 7 = 0 THEN NULL WHEN pick % 4 = 0 THEN '"changed"' WHEN pick % 3 = 0 THEN 'W/' || tag ELSE tag END AS etag,
+    CASE WHEN pick % 11 <> 0 THEN born END AS modified FROM named),
+ranked AS (
+  SELECT r.*, b.page * 2 AS base_id, b.tag AS base_tag, b.born AS base_at, octet_length(encode(coalesce(b.html, ''))) AS size,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY b.born DESC, b.page DESC) AS n
+  FROM revisit r LEFT JOIN named b ON r.key = b.key AND r.key <> '' AND b.born < r.ts),
+judged AS (
+  SELECT *, CASE WHEN base_id IS NULL THEN 'missing'
+    WHEN etag IS NOT NULL THEN CASE WHEN replace(etag, 'W/', '') = base_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified IS NULL THEN 'unverified' WHEN modified = base_at THEN 'resolved' ELSE 'mismatch' END AS status FROM ranked WHERE n = 1)
+SELECT record_id, key AS canonical_url, base_id, status, CASE WHEN status = 'resolved' THEN array_to_string([
+  'cache-control: max-age=60', 'content-length: ' || size, 'content-type: text/html', 'date: ' || ts, 'etag: ' || coalesce(etag, base_tag),
+  'last-modified: ' || modified], chr(10)) END AS headers FROM judged"""

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
     """Slices of the batches with about `limit` bytes of text each (one row at least), and their texts as bytes (null: empty)."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        raw = batch.column(at).cast(pa.large_binary())
-        sizes = np.diff(np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset:raw.offset + len(raw) + 1]) if len(raw) else []
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
         first, held = 0, 0
         for row, size in enumerate(sizes):
             if held and held + size > limit:
                 part = batch.slice(first, row - first)
                 yield part, [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
                 first, held = row, 0
-            held += int(size) + 1
+            held += size + 1
         if held:
             part = batch.slice(first)
             yield part, [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]

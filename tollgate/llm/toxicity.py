@@ -9,7 +9,8 @@ where the training texts that name it happen to be toxic.
 
 Only texts and labels of rows with crc32(doc_id) mod 5 other than 0 are learnt from, at most `SAMPLE` of them (those with the
 smallest hash of doc_id). Null texts are empty; empty texts get the score of the bias. Null labels are ignored, repeated labels
-of one document count once (toxic if any says so). Without labels the model is its prior. Rows never meet when scored.
+of one document count once (toxic if any says so). With labels of one kind only, or none, every text gets one
+score, which is 0.1 without labels. Rows never meet when scored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ FEATURES = 4_096
 PREFIXES = (4, 5, 6)
 VERSIONS = 2
 FOLDS = 5
+PRIOR = (0.5, 4.5)  # toxic and other documents added to the labelled ones where nothing can be learnt from them
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"[^\W_]+")
 
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, size: int = FEA
     sample = pinned(labelled_sample(docs, labels, limit))
     n, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not bad or bad == n:
-        return Model({}, math.log((bad + 0.5) / (n - bad + 0.5)))
+        return Model({}, math.log((bad + PRIOR[0]) / (n - bad + PRIOR[1])))
     a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
     gap = a * (n - bad - b) - b * (bad - a)
     chi = gap * gap / ((a + b) * (F.lit(float(n)) - a - b))
