@@ -20,7 +20,8 @@ def _result(ctes: list[str], body: str, columns: str) -> str:
     for item in columns.split():
         name, _, kind = item.partition(":")
         picked.append({"": name, "n": f"CAST({name} AS BIGINT) AS {name}",
-                       "m": f"floor(CAST({name} AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE + 0.0::DOUBLE AS {name}"}[kind])
+                       "m": f"CASE WHEN abs(CAST({name} AS DOUBLE)) < 9e9::DOUBLE THEN floor(CAST({name} AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) "
+                            f"/ 1e6::DOUBLE + 0.0::DOUBLE ELSE CAST({name} AS DOUBLE) END AS {name}"}[kind])
     head = "WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else ""
     return f"{head}SELECT {', '.join(picked)} FROM ({body}) AS result"
 
@@ -236,17 +237,21 @@ GRID = "grid AS (SELECT CAST(unnest(['" + "','".join(repr(t) for t in threshold_
 
 
 def _outcomes(grid: str) -> str:
-    """Every threshold against every row: the direct way, affordable on the small tables."""
-    bad, good, dec = "is_fraud = 1", "is_fraud = 0", "score >= threshold"
-    parts = [f"count(*) FILTER ({b} AND {n} ({dec})) AS {name}" for name, b, n in (
-        ("tp", bad, ""), ("fp", good, ""), ("fn", bad, "NOT"), ("tn", good, "NOT"))]
-    parts += [f"coalesce(sum(transaction_amt) FILTER ({b} AND {n} ({dec})), 0) AS amt_{name}" for name, b, n in (
-        ("tp", bad, ""), ("fp", good, ""), ("fn", bad, "NOT"), ("tn", good, "NOT"))]
-    return f"SELECT threshold, {', '.join(parts)} FROM {grid} CROSS JOIN txn GROUP BY threshold"
+    """One row per score with totals from the highest score down; a threshold takes the lowest score it declines."""
+    measures = {"p": ("count(*)", "is_fraud = 1"), "n": ("count(*)", "is_fraud = 0"),
+                "ap": ("sum(transaction_amt)", "is_fraud = 1"), "an": ("sum(transaction_amt)", "is_fraud = 0")}
+    cells = ", ".join(f"coalesce({what} FILTER ({which}), 0) AS {m}" for m, (what, which) in measures.items())
+    down = ", ".join(f"sum({m}) OVER (ORDER BY score DESC) AS {m}" for m in measures)
+    whole = ", ".join(f"coalesce(sum({m}), 0) AS {m}" for m in measures)
+    names = {"p": ("tp", "fn"), "n": ("fp", "tn"), "ap": ("amt_tp", "amt_fn"), "an": ("amt_fp", "amt_tn")}
+    parts = ", ".join(f"coalesce(d.{m}, 0) AS {a}, w.{m} - coalesce(d.{m}, 0) AS {b}" for m, (a, b) in names.items())
+    per_score = f"(SELECT score, {cells} FROM txn GROUP BY score)"
+    return (f"SELECT g.threshold, {parts} FROM {grid} g ASOF LEFT JOIN (SELECT score, {down} FROM {per_score}) d ON g.threshold <= d.score, "
+            f"(SELECT {whole} FROM {per_score}) w")
 
 
 COST = "amt_fn + 25 * fn + 0.025 * amt_fp + 10 * fp + 2 * (tp + fp)"
-SWEEP = TXN + [GRID, f"swept AS (SELECT *, {COST} AS cost FROM ({_outcomes('grid')}))",
+SWEEP = TXN + [GRID, f"swept AS MATERIALIZED (SELECT *, {COST} AS cost FROM ({_outcomes('grid')}))",
                "best AS (SELECT threshold, cost FROM swept ORDER BY cost, threshold LIMIT 1)"]
 oracle("threshold_sweep", SWEEP, "SELECT * FROM swept", "threshold:m tp:n fp:n fn:n tn:n cost:m")
 oracle("best_threshold", SWEEP, "SELECT * FROM best", "threshold:m cost:m")
@@ -283,7 +288,7 @@ def _regret(prices: str) -> list[str]:
     return SWEEP + [
         "half AS (SELECT 0.5::DOUBLE AS threshold)", f"half_out AS ({_outcomes('half')})",
         f"prices AS (SELECT CAST(unnest({prices}) AS DECIMAL(12,4)) AS price)",
-        f"""tried AS (SELECT price, threshold, {cost} AS cost FROM swept CROSS JOIN prices)""",
+        f"""tried AS MATERIALIZED (SELECT price, threshold, {cost} AS cost FROM swept CROSS JOIN prices)""",
         """optima AS (SELECT price, threshold, cost FROM (SELECT *, row_number() OVER (PARTITION BY price ORDER BY cost, threshold) AS r
   FROM tried) WHERE r = 1)""",
         f"at_half AS (SELECT price, {cost} AS cost FROM half_out CROSS JOIN prices)",
@@ -529,9 +534,10 @@ REPS = "reps AS (SELECT unnest(range(8)) AS rep)"
 oracle("boot_cost_diff", ROWS + [REPS], f"""SELECT rep, sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS diff
   FROM replay CROSS JOIN reps WHERE c_chal <> c_champ GROUP BY rep""", "rep:n diff:m")
 oracle("boot_cost_interval", ROWS + ["many AS (SELECT unnest(range(200)) AS rep)",
-                                     f"""sums AS (SELECT rep, CAST(sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS DOUBLE) AS diff
+                                     f"""sums AS (SELECT rep, sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS diff
   FROM replay CROSS JOIN many WHERE c_chal <> c_champ GROUP BY rep)"""],
-       """SELECT avg(diff) AS boot_mean, quantile_cont(diff, 0.025) AS ci_low, quantile_cont(diff, 0.975) AS ci_high FROM sums""",
+       """SELECT CAST(sum(diff) AS DOUBLE) / count(diff) AS boot_mean, quantile_cont(CAST(diff AS DOUBLE), 0.025) AS ci_low,
+  quantile_cont(CAST(diff AS DOUBLE), 0.975) AS ci_high FROM sums""",
        "boot_mean:m ci_low:m ci_high:m")
 oracle("boot_mean_diff", ACC + [REPS, f"w AS (SELECT rep, arm, y, {weight_of('42', 'account_id')} AS w FROM acc CROSS JOIN reps)"],
        """SELECT rep, CAST(sum(w * y) FILTER (arm = 'challenger') AS DOUBLE) / sum(w) FILTER (arm = 'challenger')

@@ -49,7 +49,9 @@ def tidy(df: DataFrame) -> DataFrame:
             col = col.cast("long")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             # Half up by plain arithmetic: engines disagree on round() for exact halves.
-            col = F.floor(col.cast("double") * 1e6 + 0.5).cast("double") / 1e6
+            # Where six digits no longer fit beside the whole part of a double, the value stays as it is.
+            col = col.cast("double")
+            col = F.when(F.abs(col) < 9e9, F.floor(col * 1e6 + 0.5).cast("double") / 1e6).otherwise(col)
         cols.append(col.alias(f.name))
     return df.select(*cols)
 

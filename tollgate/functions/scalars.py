@@ -41,11 +41,6 @@ def ratio_or_null(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
-def as_number(col: str, dtype: str = "double") -> Column:
-    """Tolerant cast: text that is no number becomes null."""
-    return F.col(col).try_cast(dtype)
-
-
 def size_bucket(count: str) -> Column:
     n = F.col(count)
     return (F.when(n == 1, "1").when(n.between(2, 4), "2-4").when(n.between(5, 9), "5-9")

@@ -46,16 +46,22 @@ def count_encode(df: DataFrame, columns: Sequence[str], fit: Column, min_levels:
 
 def one_hot(df: DataFrame, column: str, fit: Column | None = None, max_levels: int = MAX_ONE_HOT_LEVELS,
             keep: bool = False) -> tuple[DataFrame, list[str]]:
-    """0/1 column per level plus one for null; a column with too many fitted levels is counted instead."""
+    """0/1 column per fitted level, one for levels met later and one for null.
+
+    A column with too many fitted levels is counted instead. Without ``fit`` all rows are fitted, so no level comes later.
+    """
     fitted = df if fit is None else df.where(fit)
     if has_levels(fitted, column, max_levels + 1):
         counts = level_counts(fitted, column).select(F.col("level").alias(column), F.col("n").alias(f"{column}_cnt"))
         out = join_keys(df, counts, column)
         return (out if keep else out.drop(column)), [f"{column}_cnt"]
-    levels = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string"))
-                    .distinct().limit(10 * max_levels).collect())
+    levels = sorted(r[0] for r in fitted.where(F.col(column).isNotNull()).select(F.col(column).cast("string"))
+                    .distinct().collect())  # at most max_levels, as just checked
     cols: dict[str, Column] = {f"{column}_{v}": F.coalesce((F.col(column).cast("string") == v).cast("double"), F.lit(0.0))
                                for v in levels}
+    if fit is not None:
+        later = F.col(column).isNotNull() & ~F.col(column).cast("string").isin(levels)
+        cols[f"{column}_other"] = later.cast("double")
     cols[f"{column}_null"] = F.col(column).isNull().cast("double")
     out = df.withColumns(cols)
     return (out if keep else out.drop(column)), list(cols)

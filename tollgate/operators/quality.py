@@ -45,7 +45,7 @@ def leaking_first_rows(fact: DataFrame) -> DataFrame:
 
 
 def window_mismatches(fact: DataFrame) -> DataFrame:
-    """Rows whose look-back features differ from an independent recomputation.
+    """Rows whose look-back features differ from an independent recomputation, or that only one side has.
 
     Uses differences of running totals over time slots instead of a range frame, for every account.
     """
@@ -56,7 +56,10 @@ def window_mismatches(fact: DataFrame) -> DataFrame:
     differs: Column = F.lit(False)
     for c in checked:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"expected_{c}"))
-    return fact.select("transaction_id", *checked).join(other, "transaction_id").where(differs)
+    mine = fact.select("transaction_id", *checked).withColumn("__here", F.lit(True))
+    both = mine.join(other.withColumn("__there", F.lit(True)), "transaction_id", "full")
+    alone = F.col("__here").isNull() | F.col("__there").isNull()
+    return both.where(alone | differs).drop("__here", "__there")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Strictly prior behavioural features per account.
 
 A row sees only rows of its account with a strictly smaller timestamp, so rows sharing its second
-are left out together with the row itself. Two plans give the same columns:
+are left out together with the row itself. A row without a time sees none and is seen by none; rows
+without a key are one account. Two plans give the same columns:
 
 * ``_by_window``: one range-framed window per account, a single exchange and sort.
 * ``_by_slots``: for accounts too large for one task. Rows collapse to one tick per second, ticks
@@ -15,8 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.functions.scalars import mean_of, ratio_or_null
 from tollgate.operators.skew import join_keys
@@ -34,23 +36,33 @@ def feature_names(horizons: Mapping[str, int] = HORIZONS) -> list[str]:
             "prev_transaction_dt", "amt_to_prior_mean_ratio", "seconds_since_prev_txn"]
 
 
+def _exact(df: DataFrame, amt: str) -> Column:
+    """Floating amounts as decimals, so that a sum does not depend on the order of its rows."""
+    kind = df.schema[amt].dataType
+    return F.col(amt).cast("decimal(28,9)") if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(amt)
+
+
 def _by_window(df: DataFrame, key: str, ts: str, amt: str, horizons: Mapping[str, int]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(ts)
     prior = w.rangeBetween(Window.unboundedPreceding, -1)
+    timed = F.col(ts).isNotNull()
     cols = {
-        "prior_txn_count": F.count("*").over(prior),
-        "prior_amt_sum": F.sum(amt).over(prior),
-        "prev_transaction_dt": F.max(ts).over(prior),
+        "prior_txn_count": F.when(timed, F.count(ts).over(prior)).otherwise(0),
+        "prior_amt_sum": F.when(timed, F.sum(F.when(timed, _exact(df, amt))).over(prior)).cast(_prior_sum_type(df, amt)),
+        "prev_transaction_dt": F.when(timed, F.max(ts).over(prior)),
     }
-    cols.update({f"txn_count_{name}": F.count("*").over(w.rangeBetween(-width, -1))
+    cols.update({f"txn_count_{name}": F.when(timed, F.count(ts).over(w.rangeBetween(-width, -1))).otherwise(0)
                  for name, width in horizons.items()})
     return df.withColumns(cols)
 
 
 def _by_slots(df: DataFrame, key: str, ts: str, amt: str, horizons: Mapping[str, int],
               slot_seconds: int) -> DataFrame:
-    ticks = df.groupBy(key, F.col(ts).alias("__src")).agg(
-        F.count("*").alias("__n"), F.sum(amt).alias("__s"))
+    # A null key is an account like any other, under a name that joins; rows without a time take no part.
+    given, key, named = df, "__account", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    df = df.withColumn(key, named)
+    ticks = df.where(F.col(ts).isNotNull()).groupBy(key, F.col(ts).alias("__src")).agg(
+        F.count("*").alias("__n"), F.sum(_exact(df, amt)).alias("__s"))
     # A tick itself, plus one empty probe at the start of each look-back horizon.
     nothing = F.lit(None).cast(ticks.schema["__s"].dataType)
     marks = [F.struct(F.lit(0).alias("w"), F.col("__src").alias("at"), F.col("__n").alias("n"),
@@ -91,7 +103,9 @@ def _by_slots(df: DataFrame, key: str, ts: str, amt: str, horizons: Mapping[str,
         "prev_transaction_dt",
         *[(F.col("prior_txn_count") - F.col(f"__from_{name}")).alias(f"txn_count_{name}")
           for name in horizons])
-    return df.join(wide, [key, ts]).select(*df.columns, *[c for c in wide.columns if c not in (key, ts)])
+    counts = ["prior_txn_count", *[f"txn_count_{name}" for name in horizons]]
+    return df.join(wide, [key, ts], "left").select(*given.columns, *[
+        F.coalesce(c, F.lit(0)).alias(c) if c in counts else c for c in wide.columns if c not in (key, ts)])
 
 
 def _prior_sum_type(df: DataFrame, amt: str):
@@ -102,7 +116,7 @@ def velocity(df: DataFrame, key: str = "account_id", ts: str = "transaction_dt",
              amt: str = "transaction_amt", horizons: Mapping[str, int] = HORIZONS,
              hot_rows: int = HOT_ROWS, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Add the prior count, sum, mean, previous time, look-back counts, ratio and gap columns."""
-    large = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    large = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows).select(key)
     if large.isEmpty():
         out = _by_window(df, key, ts, amt, horizons)
     else:
