@@ -42,6 +42,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             yield part, [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, for work whose results are much larger than a row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """`mapInArrow` where `fn(batch, texts)` gives the columns of one bounded slice as a list, in the order of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema

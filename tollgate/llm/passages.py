@@ -23,7 +23,7 @@ are not earlier than each other, and rows with different texts are told apart by
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,16 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tollgate.llm.common import chunks, parts, pinned
+from tollgate.llm.common import chunks, parts, pinned, slices
 
 LENGTH = 100
 GRAM = 24
 MOST = 16_384  # phrases of one trigger that are sorted inside one task
 SLICE_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20  # of one text parsed at once
+BLOCK_BYTES = 1 << 19  # parsed at once
 PLACE = np.uint64(28)  # bits for a position in a block
 BLOCK_ROWS = 4_096
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -186,7 +188,7 @@ def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the phrases to search, from documents with the list of theirs."""
-    for batch in batches:
+    for batch in slices(batches):
         d, t, packed, lists = (batch.column(i) for i in range(4))
         a, rows, starts, cut = [], [], [], []
         unpack = zstandard.ZstdDecompressor()
@@ -366,39 +368,36 @@ def cut_spans(text: bytes, spans_: list[tuple[int, int]]) -> tuple[list[bytes],
     return kept, removed, runs
 
 
-def remove_passages(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """row (all columns but text), kept (the remaining bytes), n_bytes, n_removed and n_spans of every row."""
+def cut_rows(docs: DataFrame, most: int, schema: StructType, values: Callable) -> DataFrame:
+    """row (all columns but text) and `values(kept bytes, n_bytes, n_removed, n_spans)` of every row, of the types of `schema`."""
     packed, gone = spans(identified(docs), most)
     listed = gone.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # one document's own spans
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    arrow = to_arrow_schema(schema)
 
     def cutting(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            made: list[list] = [[], [], [], []]
+        for batch in slices(batches):
+            made = []
             for z, spans_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = unpack.decompress(z)
                 kept, removed, runs = cut_spans(text, [(x["s"], x["e"]) for x in spans_ or []])
-                for column, value in zip(made, (b"".join(kept), len(text), removed, runs)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(made, kinds))],
-                                             ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+                made.append(values(b"".join(kept), len(text), removed, runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*made), arrow))],
+                                             ["row", *arrow.names])
 
     rows = packed.join(listed.hint("merge"), ["d", "t"], "left").select("row", "z", "spans")
-    return rows.mapInArrow(cutting, rows.select("row", F.lit(b"").alias("kept"), *[
-        F.lit(0).cast("long").alias(x) for x in ("n_bytes", "n_removed", "n_spans")]).schema)
+    return rows.mapInArrow(cutting, StructType([rows.schema["row"], *schema.fields]))
 
 
-def rewrite(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """`docs` with shortened texts. Bytes of characters that a cut split go too; a column n_chars is counted anew."""
-    cut = remove_passages(docs, most)
+def remove_passages(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """row (all columns but text), kept (the remaining bytes), n_bytes, n_removed and n_spans of every row."""
+    schema = StructType.fromDDL("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return cut_rows(docs, most, schema, lambda *values: values)
 
-    def decoding(batches):
-        for batch in batches:
-            texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
 
-    text = cut.select("row", "kept").mapInArrow(decoding, cut.select("row", F.lit("").alias("text")).schema)
+def rewrite(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """`docs` with shortened texts. Bytes of characters that a cut split go too; a column n_chars is counted anew."""
+    text = cut_rows(docs, most, StructType.fromDDL("text string"), lambda kept, *_: (kept.decode("utf-8", "ignore"),))
     counted = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         counted["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -16,6 +16,7 @@ Null texts are empty; an empty text has no pieces. A null key is a key of its ow
 from __future__ import annotations
 
 import functools
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import chunks, mix
+from tollgate.llm.common import chunks, mix, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 LEAD = b"\xff"  # stands for the leading space mark inside the lattice; no UTF-8 text has this byte
 LONGEST = 192
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 Vocabulary = tuple[tuple[bytes, ...], tuple[float, ...], tuple[int, ...]]
 
@@ -158,8 +159,7 @@ class Lattice:
 
     def sample(self, texts: list[bytes], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts one after another, and the number of pieces of each text."""
-        rank: defaultdict[bytes, int] = defaultdict()
-        rank.default_factory = rank.__len__  # a new word gets the next number
+        rank: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)  # a new word gets the next number
         which: list[int] = []
         counts = []
         for text in texts:
@@ -243,7 +243,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, key: str = "doc_id") -> D
     vocabulary = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             tables = lattice(vocabulary.value, 1.0)
             texts = [tables.text(np.array(x or [], np.int32)).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
