@@ -371,16 +371,21 @@ oracle("score_quantiles", TXN, " UNION ALL ".join(
     f"SELECT '{n}' AS statistic, quantile_cont(score, {p}) AS value FROM txn" for n, p in
     (("min", 0), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("max", 1))) +
        f" UNION ALL SELECT 'mean', {EXACT_MEAN.format('score')} FROM txn", "statistic value:m")
-oracle("random_split", TXN + [f"""hashed AS (SELECT *, row_number() OVER (ORDER BY {UNIFORM.format("'42:' || transaction_id")}, transaction_id)
-  AS r, count(*) OVER () AS n FROM txn)"""], """SELECT split, count(*) AS n, sum(is_fraud) AS frauds, sum(transaction_id) AS id_sum FROM (
-  SELECT *, CASE WHEN r <= floor(0.6::DOUBLE * n) THEN 'train' WHEN r <= floor((0.6::DOUBLE + 0.1::DOUBLE) * n) THEN 'early_stop'
-  WHEN r <= floor((0.6::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE) * n) THEN 'calibration'
-  WHEN r <= floor((0.6::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE + 0.2::DOUBLE) * n) THEN 'test' END AS split FROM hashed)
-  WHERE split IS NOT NULL GROUP BY 1""", "split n:n frauds:n id_sum:n")
-oracle("split_overlap", KEYED, f"""SELECT count(*) AS test_accounts, count(*) FILTER (account_id IN (SELECT account_id FROM keyed
-  WHERE {SPLIT} = 'train')) AS also_in_train, CAST(count(*) FILTER (account_id IN (SELECT account_id FROM keyed WHERE {SPLIT} = 'train'))
-  AS DOUBLE) / count(*) AS share FROM (SELECT DISTINCT account_id FROM keyed WHERE {SPLIT} = 'test')""",
-       "test_accounts:n also_in_train:n share:m")
+_HASHED = f"""hashed AS (SELECT *, {SPLIT} AS timed, row_number() OVER (ORDER BY {UNIFORM.format("'42:' || transaction_id")}, transaction_id)
+  AS r, count(*) OVER () AS n FROM keyed)"""
+_CUTS = """cuts AS (SELECT count(*) FILTER (timed = 'train') AS cut1, count(*) FILTER (timed IN ('train', 'early_stop')) AS cut2,
+  count(*) FILTER (timed <> 'test') AS cut3 FROM hashed)"""
+_RULES = f"""dealt AS (SELECT h.*, CASE WHEN r <= cut1 THEN 'train' WHEN r <= cut2 THEN 'early_stop' WHEN r <= cut3 THEN 'calibration' ELSE 'test' END AS matched,
+  CASE WHEN r <= h.n * 4 * 644 // 4200 THEN 'train' WHEN r <= h.n * 4 * 749 // 4200 THEN 'early_stop'
+  WHEN r <= h.n * 4 * 840 // 4200 THEN 'calibration' ELSE 'test' END AS fifth FROM hashed h, cuts)"""
+oracle("random_split", KEYED + [_HASHED, _CUTS, _RULES], " UNION ALL ".join(
+    f"""SELECT '{rule}' AS rule, {column} AS split, count(*) AS n, sum(is_fraud) AS frauds, sum(transaction_id) AS id_sum FROM dealt GROUP BY {column}"""
+    for rule, column in (("size-matched", "matched"), ("80/20", "fifth"))), "rule split n:n frauds:n id_sum:n")
+oracle("split_overlap", KEYED + [_HASHED, _CUTS, _RULES], " UNION ALL ".join(
+    f"""SELECT '{rule}' AS rule, count(*) AS test_accounts, count(*) FILTER (elsewhere) AS also_elsewhere,
+  CAST(count(*) FILTER (elsewhere) AS DOUBLE) / count(*) AS share FROM (SELECT account_id, bool_or({column} <> 'test') AS elsewhere,
+  bool_or({column} = 'test') AS inside FROM dealt GROUP BY account_id) WHERE inside""" for rule, column in (("time", "timed"), ("random", "matched"))),
+       "rule test_accounts:n also_elsewhere:n share:m")
 
 # ---- encoders ------------------------------------------------------------------------------------
 
@@ -530,21 +535,26 @@ def weight_of(seed: str, key: str) -> str:
     return "(" + " + ".join(f"CAST({draw} >= {e} AS INTEGER)" for e in poisson_cuts()) + ")"
 
 
-REPS = "reps AS (SELECT unnest(range(8)) AS rep)"
-oracle("boot_cost_diff", ROWS + [REPS], f"""SELECT rep, sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS diff
+
+
+def reps(count: int) -> str:
+    return f"reps AS (SELECT unnest(range({count})) AS rep)"
+
+
+oracle("boot_cost_diff", ROWS + [reps(600)], f"""SELECT rep, sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS diff
   FROM replay CROSS JOIN reps WHERE c_chal <> c_champ GROUP BY rep""", "rep:n diff:m")
-oracle("boot_cost_interval", ROWS + ["many AS (SELECT unnest(range(200)) AS rep)",
+oracle("boot_cost_interval", ROWS + [reps(600),
                                      f"""sums AS (SELECT rep, sum((c_chal - c_champ) * {weight_of('7', 'transaction_id')}) AS diff
-  FROM replay CROSS JOIN many WHERE c_chal <> c_champ GROUP BY rep)"""],
+  FROM replay CROSS JOIN reps WHERE c_chal <> c_champ GROUP BY rep)"""],
        """SELECT CAST(sum(diff) AS DOUBLE) / count(diff) AS boot_mean, quantile_cont(CAST(diff AS DOUBLE), 0.025) AS ci_low,
   quantile_cont(CAST(diff AS DOUBLE), 0.975) AS ci_high FROM sums""",
        "boot_mean:m ci_low:m ci_high:m")
-oracle("boot_mean_diff", ACC + [REPS, f"w AS (SELECT rep, arm, y, {weight_of('42', 'account_id')} AS w FROM acc CROSS JOIN reps)"],
+oracle("boot_mean_diff", ACC + [reps(2000), f"w AS (SELECT rep, arm, y, {weight_of('42', 'account_id')} AS w FROM acc CROSS JOIN reps)"],
        """SELECT rep, CAST(sum(w * y) FILTER (arm = 'challenger') AS DOUBLE) / sum(w) FILTER (arm = 'challenger')
   - CAST(sum(w * y) FILTER (arm <> 'challenger') AS DOUBLE) / sum(w) FILTER (arm <> 'challenger') AS diff FROM w GROUP BY rep""",
        "rep:n diff:m")
 oracle("boot_metric", TXN + [
-    REPS, f"w AS (SELECT rep, score, is_fraud, {weight_of('7', 'transaction_id')} AS w FROM txn CROSS JOIN reps)",
+    reps(1000), f"w AS (SELECT rep, score, is_fraud, {weight_of('7', 'transaction_id')} AS w FROM txn CROSS JOIN reps)",
     "cells AS (SELECT rep, score, sum(w) FILTER (is_fraud = 1) AS pos0, sum(w) FILTER (is_fraud = 0) AS neg0 FROM w WHERE w > 0 GROUP BY 1, 2)",
     "full0 AS (SELECT rep, score, coalesce(pos0, 0) AS pos, coalesce(neg0, 0) AS neg FROM cells)",
     """curve AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER a AS p, sum(neg) OVER a AS n FROM full0
@@ -601,7 +611,7 @@ oracle("balance", MATCHED + ["""sides AS (SELECT u.*, 1 AS side FROM kept k JOIN
   SELECT u.*, 0 FROM kept k JOIN units u ON u.account_id = k.control_id)"""],
        f"SELECT * FROM ({smd_of('units', _COV, 't = 1', 'smd_before')}) JOIN ({smd_of('sides', _COV, 'side = 1', 'smd_after')}) USING (covariate)",
        "covariate smd_before:m smd_after:m")
-oracle("boot_att", MATCHED + [REPS, f"w AS (SELECT rep, diff, {weight_of('42', 'account_id')} AS w FROM pairs CROSS JOIN reps)"],
+oracle("boot_att", MATCHED + [reps(400), f"w AS (SELECT rep, diff, {weight_of('42', 'account_id')} AS w FROM pairs CROSS JOIN reps)"],
        "SELECT rep, CAST(sum(w * diff) AS DOUBLE) / sum(w) AS att FROM w GROUP BY rep", "rep:n att:m")
 _GAMMAS = "gammas AS (SELECT CAST(unnest(['" + "','".join(repr(g) for g in GAMMAS) + "']) AS DOUBLE) AS gamma)"
 oracle("rosenbaum", MATCHED + [_GAMMAS, """sized AS (SELECT diff, abs(diff) AS size, (rank() OVER (ORDER BY abs(diff)) +

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -24,15 +23,15 @@ from tollgate.operators import profile as P
 from tollgate.operators import quality as D
 from tollgate.operators import thresholds as Th
 from tollgate.operators import velocity as V
+from tollgate.plans import evaluation as Ev
 from tollgate.plans import marts
-from tollgate.session import pinned
+from tollgate.session import pinned, scratch
 from tollgate.sources import tables as Tb
 from tollgate.sources.canonical import (FOLD_DAYS, FOLD_STARTS, PRE_PERIOD, REPLAY_FROM, SPLIT_EDGES, dated_orders,
                                         identity, keyed, table, transactions)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SMALL_BOOT = 8
 
 # The false-decline prices and the churn-by-lifetime grid of the regret reports.
 FALSE_DECLINE_PRICES = [Decimal(x) for x in ("0.5", "1", "2", "4", "6", "8", "10", "15", "20", "30", "50", "80", "120")]
@@ -66,16 +65,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def scratch() -> str:
-    """A fresh shared folder: under the cluster's checkpoint folder when one is named."""
-    session = SparkSession.active()
-    base = session.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-        return f"{base}/scratch-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tollgate-scratch-")
-
-
 # ---- staging -----------------------------------------------------------------------------------
 
 def raw_shape(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +92,7 @@ def txn_clock(spark, d):
 @query
 def csv_roundtrip(spark, d):
     """Rows written as CSV, read with inferred types, kept as Parquet, checked for completeness."""
-    out = scratch()
+    out = scratch(spark)
     raw = raw_shape(spark, d)
     raw.write.mode("overwrite").option("header", True).csv(f"{out}/csv")
     parquet = Tb.csv_to_parquet(spark, f"{out}/csv", f"{out}/parquet", "TransactionDT")
@@ -382,7 +371,7 @@ def _fact_result(df: DataFrame) -> DataFrame:
 @query
 def fact_incremental(spark, d):
     """Fact table built in three day-wise loads; must equal one full build."""
-    path = scratch() + "/fact"
+    path = scratch(spark) + "/fact"
     t = pinned(transactions(spark, d))  # the staged layer is stored once and read by every load
     for last in (9, 19, 29):
         marts.load_new_days(t.where(F.col("txn_day") <= last), path)
@@ -393,7 +382,7 @@ def fact_incremental(spark, d):
 @query
 def fact_late_rows(spark, d):
     """A late row of a loaded day is not picked up, though later rows do see it as history."""
-    path = scratch() + "/fact"
+    path = scratch(spark) + "/fact"
     t = pinned(transactions(spark, d))
     late = (F.col("txn_day") == 3) & (F.col("k") < 20)
     marts.load_new_days(t.where((F.col("txn_day") <= 9) & ~late), path)
@@ -558,19 +547,22 @@ def score_quantiles(spark, d):
 
 @query
 def random_split(spark, d):
-    """Random split with the exact sizes of the time split."""
-    from tollgate.plans.evaluation import random_split as split
+    """Random splits with the exact sizes of the time split and with a fifth held out."""
     t = transactions(spark, d)
-    return split(t, [0.6, 0.1, 0.1, 0.2], "42").groupBy("split").agg(
+    timed = Ev.split_sizes(t.select(S.time_split(edges=SPLIT_EDGES).alias("split")))
+    parts = [Ev.random_split(t, sizes, "42").groupBy(F.lit(rule).alias("rule"), "split").agg(
         F.count("*").alias("n"), F.sum("is_fraud").alias("frauds"), F.sum("transaction_id").alias("id_sum"))
+        for rule, sizes in (("size-matched", timed), ("80/20", Ev.fifth_held_out(sum(timed))))]
+    return parts[0].unionByName(parts[1])
 
 
 @query
 def split_overlap(spark, d):
-    """Share of test accounts that also occur in training, by split rule."""
-    from tollgate.plans.evaluation import account_overlap
-    t = keyed(spark, d).withColumn("split", S.time_split(edges=SPLIT_EDGES))
-    return account_overlap(t)
+    """Share of test accounts that also occur outside the test rows, by split rule."""
+    timed = keyed(spark, d).withColumn("split", S.time_split(edges=SPLIT_EDGES))
+    random = Ev.random_split(timed.drop("split"), Ev.split_sizes(timed), "42")
+    return Ev.account_overlap(timed).withColumn("rule", F.lit("time")).unionByName(
+        Ev.account_overlap(random).withColumn("rule", F.lit("random")))
 
 
 # ---- encoders ------------------------------------------------------------------------------------
@@ -751,30 +743,30 @@ def expected_cost_rule(spark, d):
 @query
 def boot_cost_diff(spark, d):
     """Replicates of the paired cost difference of two policies."""
-    return B.cost_difference(replay(spark, d), "c_chal", "c_champ", replicates=SMALL_BOOT)
+    return B.cost_difference(replay(spark, d), "c_chal", "c_champ")
 
 
 @query
 def boot_mean_diff(spark, d):
     """Replicates of the difference of arm means."""
-    return B.mean_difference(accounts(spark, d), replicates=SMALL_BOOT)
+    return B.mean_difference(accounts(spark, d))
 
 
 @query
 def boot_metric(spark, d):
     """Replicates of average precision, ROC area and Brier score."""
-    return B.metric_replicates(transactions(spark, d), replicates=SMALL_BOOT)
+    return B.metric_replicates(transactions(spark, d))
 
 
 @query
 def bca(spark, d):
     """Bias-corrected and accelerated interval of the primary effect."""
-    return B.bca_interval(pinned(accounts(spark, d)), replicates=200)
+    return B.bca_interval(pinned(accounts(spark, d)))
 
 
 @query
 def boot_cost_interval(spark, d):
-    return B.percentile_interval(B.cost_difference(replay(spark, d), "c_chal", "c_champ", replicates=200), "diff")
+    return B.percentile_interval(B.cost_difference(replay(spark, d), "c_chal", "c_champ"), "diff")
 
 
 # ---- causal --------------------------------------------------------------------------------------
@@ -827,7 +819,7 @@ def matched_pairs(spark, d) -> DataFrame:
 @query
 def boot_att(spark, d):
     """Replicates of the matched effect."""
-    return B.att_replicates(matched_pairs(spark, d), replicates=SMALL_BOOT)
+    return B.att_replicates(matched_pairs(spark, d))
 
 
 @query

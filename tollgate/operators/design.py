@@ -46,13 +46,6 @@ def detectable_effect(accounts: DataFrame, value: str = "y_champ", alpha: float
     return t.select("n", "sd", se.alias("se"), (factor * se).alias("mde"), (factor * se * F.col("n")).alias("mde_total"))
 
 
-def power_at(accounts: DataFrame, effect: float, value: str = "y_champ", alpha: float = ALPHA) -> float:
-    """Chance of rejecting when the true difference is ``effect``."""
-    se = detectable_effect(accounts, value, alpha).first()["se"]
-    z, shift = NormalDist().inv_cdf(1 - alpha / 2), abs(effect) / se
-    return NormalDist().cdf(shift - z) + NormalDist().cdf(-shift - z)
-
-
 def covariate_value(accounts: DataFrame, covariates: Sequence[str], value: str = "y_champ") -> DataFrame:
     """Correlation of each covariate with the outcome and the variance share it removes."""
     cells = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates])

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions.scalars import mean_of, ratio_or_null, size_bucket
-from tollgate.operators.ordering import exact_quantiles
 
 # Base rate of the label and the two alarm levels.
 BASE_RATE = 0.034990
@@ -118,11 +117,6 @@ def level_counts(df: DataFrame, column: str) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def median_by(df: DataFrame, value: str) -> float | None:
-    row = exact_quantiles(df, value, [0.5]).first()
-    return row["quantile"] if row else None
-
-
 def sampled_sequences(fact: DataFrame, dim: DataFrame, min_rows: int = 5, accounts: int = 3,
                       columns: Sequence[str] = ()) -> DataFrame:
     """All rows of a few accounts picked by a stable hash, in time order: a reading sample."""

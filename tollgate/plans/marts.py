@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from tollgate.functions.scalars import (DAY_OFFSETS, hour_of, log_amount, rebase
 from tollgate.operators.skew import join_keys
 from tollgate.operators.velocity import HORIZONS, velocity
 from tollgate.session import pinned
-from tollgate.sources.tables import packed, write_parquet
+from tollgate.sources.tables import packed, read_if_there, write_parquet
 
 KeyFunction = Callable[[], tuple[Column, Column]]
 
@@ -61,11 +60,9 @@ def rebuilt_rows(txn: DataFrame, after_day: int, identity: DataFrame | None = No
 
 def loaded_through(spark, path: str) -> int:
     """Latest day in the fact table, -1 before the first load."""
-    try:
-        row = spark.read.parquet(path).agg(F.max("txn_day").alias("d")).first()
-    except AnalysisException:
-        return -1
-    return -1 if row["d"] is None else int(row["d"])
+    stored = read_if_there(spark, path)
+    day = stored.agg(F.max("txn_day").alias("d")).first()["d"] if stored is not None else None
+    return -1 if day is None else int(day)
 
 
 def load_new_days(txn: DataFrame, path: str, identity: DataFrame | None = None, key: KeyFunction = account_key,

@@ -7,17 +7,16 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.functions.scalars import feature_columns, leaked_columns
-from tollgate.operators.encoders import category_codes, has_levels, median_impute, one_hot, standardise
+from tollgate.operators.encoders import category_codes, median_impute, one_hot, standardise
 
 DOMINANT_PCT = 30
-TREE_LEVELS = 256
 MISSING = -1e9  # below every feature value: one split isolates the missing rows
 
 
@@ -57,43 +56,33 @@ def features_of(df: DataFrame, drop_pattern: str | None = None, only: Sequence[s
 
 
 def tree_ready(df: DataFrame, features: Features) -> DataFrame:
-    """Numeric inputs as doubles with missing values below all others; text untouched."""
-    text = set(features.text)
-    return df.withColumns({f"x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING))
-                           for c in features.names if c not in text})
+    """Inputs as doubles with missing values below all others. Text has to be coded first."""
+    if features.text:
+        raise ValueError(f"text columns without codes: {list(features.text)}")
+    return df.withColumns({f"x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in features.names})
 
 
-def wide_text_coded(df: DataFrame, features: Features, limit: int = TREE_LEVELS) -> tuple[DataFrame, Features]:
-    """Replace text with more levels than a tree should split on by its integer code.
+def text_coded(df: DataFrame, features: Features) -> tuple[DataFrame, Features]:
+    """Every text column as the integer code of its level, whatever the number of levels; missing is 0.
 
-    The codes come from a distributed lookup over all rows; only columns within the limit are left
-    to the indexer, which keeps its levels on the driver.
+    The codes come from a distributed lookup over all rows and enter the trees as ordered numbers.
     """
-    text = list(features.text)
     for c in features.text:
-        if has_levels(df, c, limit + 1):
-            df = category_codes(df, c, "__code").drop(c).withColumnRenamed("__code", c)
-            text.remove(c)
-    return df, Features(features.names, text)
+        df = category_codes(df, c, "__code").drop(c).withColumnRenamed("__code", c)
+    return df, Features(features.names)
 
 
 def fit_boosted(df: DataFrame, features: Features, train: Column, early_stop: Column,
                 settings: Boosting = Boosting(), label: str = "is_fraud") -> PipelineModel:
     rows = tree_ready(df.where(train | early_stop), features).withColumns(
         {"__validation": early_stop, label: F.col(label).cast("double")})
-    text, stages, widest = list(features.text), [], 0
-    if text:
-        indexer = StringIndexer(inputCols=text, outputCols=[f"x_{c}" for c in text], stringOrderType="alphabetAsc",
-                                handleInvalid="keep").fit(rows)
-        widest = max(len(levels) for levels in indexer.labelsArray) + 1
-        stages.append(indexer)
     trees = GBTClassifier(
         featuresCol="__x", labelCol=label, validationIndicatorCol="__validation", maxIter=settings.rounds,
         maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.row_share,
-        minInstancesPerNode=settings.min_leaf_rows, maxBins=max(settings.bins, widest), seed=settings.seed,
+        minInstancesPerNode=settings.min_leaf_rows, maxBins=settings.bins, seed=settings.seed,
         featureSubsetStrategy=settings.feature_share)
     assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features.names], outputCol="__x")
-    return Pipeline(stages=[*stages, assembler, trees]).fit(rows)
+    return Pipeline(stages=[assembler, trees]).fit(rows)
 
 
 def score_boosted(model: PipelineModel, df: DataFrame, features: Features, out: str = "score_raw") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,10 +12,7 @@ from pyspark.sql import types as T
 
 from tollgate.functions.scalars import day_of
 
-# Names that do not follow the lower-case rule, and types pinned by name.
-RENAMES = {"TransactionID": "transaction_id", "isFraud": "is_fraud", "TransactionDT": "transaction_dt",
-           "TransactionAmt": "transaction_amt", "ProductCD": "product_cd", "DeviceType": "device_type",
-           "DeviceInfo": "device_info"}
+# Types pinned by name.
 PINNED_TYPES = {"transaction_id": "bigint", "is_fraud": "int", "transaction_dt": "bigint",
                 "transaction_amt": "decimal(18,3)", "txn_day": "bigint"}
 PINNED_COUNTS = {"transaction_id", "transaction_dt", "txn_day", "is_fraud"}
@@ -54,7 +52,8 @@ def prepare(spark: SparkSession, transactions_csv: str, identity_csv: str, out_d
 
 
 def snake(name: str) -> str:
-    return RENAMES.get(name, name.lower())
+    """Lower case, with an underscore between a lower and an upper letter."""
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
 
 
 def _staged_type(name: str, dtype: T.DataType) -> str:
@@ -123,12 +122,21 @@ def narrowed(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None only where nothing stands at the path. Any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as failed:
+        if failed.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                  columns: Sequence[str] | None = None) -> DataFrame:
     """The table at ``path``, building and writing it on first use."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
+    df = read_if_there(spark, path)
+    if df is None:
         write_parquet(narrowed(build()), path)
         df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
@@ -148,10 +156,12 @@ def publish(df: DataFrame, name: str, materialise: bool = False, partition_by: S
 
 
 def aligned(df: DataFrame, ids: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Rows of ``df`` for exactly the ids given; raises when an id is missing or repeated."""
-    out = df.join(ids.select(key), key)
-    wanted, found = ids.count(), out.count()
-    missing = ids.select(key).join(df.select(key), key, "left_anti").count()
-    if missing or wanted != found:
-        raise ValueError(f"alignment on {key}: {wanted} ids, {found} rows, {missing} ids missing")
-    return out
+    """Rows of ``df`` for exactly the ids given; raises when an id is missing or repeated. One pass checks both."""
+    marked = df.select(key, F.lit(1).alias("__row"), F.lit(0).alias("__id")).unionByName(
+        ids.select(key, F.lit(0).alias("__row"), F.lit(1).alias("__id")))
+    sides = marked.groupBy(key).agg(F.sum("__row").alias("rows"), F.sum("__id").alias("ids")).where("ids > 0")
+    seen = sides.agg(F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.count_if((F.col("rows") == 0) | F.col(key).isNull()).alias("missing"),
+                     F.count_if((F.col("rows") > 1) | (F.col("ids") > 1)).alias("repeated")).first()
+    if seen["missing"] or seen["repeated"]:
+        raise ValueError(f"alignment on {key}: of {seen['ids']} ids {seen['missing']} are missing, {seen['repeated']} repeated")
+    return df.join(ids.select(key), key)
