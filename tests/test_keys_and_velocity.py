@@ -152,3 +152,24 @@ def test_file_stream_drives_the_same_load(spark, tmp_path):
     assert run_available(spark, landing, first.schema, read, fact, mark) == 1
     assert run_available(spark, landing, first.schema, read, fact, mark) == 0
     assert marts.read_fact(spark, fact).where("transaction_id = 3").first()["prior_txn_count"] == 2
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,3)", "double"])
+def test_both_plans_agree_on_rows_without_time_or_key(spark, kind):
+    rows = [(i, None if i % 7 == 0 else "a" if i % 3 else "b", None if i % 5 == 0 else (i * 37) % 90, 0.1 * i) for i in range(140)]
+    df = spark.createDataFrame(rows, "transaction_id long, account_id string, transaction_dt long, amt double").select(
+        "transaction_id", "account_id", "transaction_dt", F.col("amt").cast(kind).alias("transaction_amt"))
+    plans = [V.velocity(df), V.velocity(df, hot_rows=5), V.velocity_by_slots(df)]
+    one, two, three = (sorted(map(tuple, p.collect())) for p in plans)
+    assert len(one) == 140 and one == two == three
+    timeless = [r for r in one if r[2] is None]
+    assert timeless and all(r[4] == 0 and r[5] is None and r[7] == 0 for r in timeless)
+
+
+def test_recomputation_reports_rows_of_one_side(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a", i * 60, Decimal(i)) for i in range(5)],
+                               "transaction_id long, account_id string, transaction_dt long, transaction_amt decimal(18,3)")
+    fact = V.velocity(df)
+    assert quality.window_mismatches(fact).isEmpty()
+    monkeypatch.setattr(quality, "velocity_by_slots", lambda rows: V.velocity_by_slots(rows).where("transaction_id <> 3"))
+    assert [r["transaction_id"] for r in quality.window_mismatches(fact).collect()] == [3]

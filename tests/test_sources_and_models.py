@@ -3,13 +3,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.catalog import models as C
-from tollgate.functions.scalars import feature_columns
+from tollgate.functions.scalars import SPLIT_NAMES, feature_columns
 from tollgate.operators import calibrate as Cal
+from tollgate.operators import encoders as E
 from tollgate.plans import training as Tr
 from tollgate.plans import walkforward as W
-from tollgate.plans.evaluation import random_split
+from tollgate.plans.evaluation import account_overlap, fifth_held_out, random_split
 from tollgate.sources import tables as Tb
 from tollgate.sources.canonical import transactions
+from tollgate.sources.tables import read_if_there
 
 
 def test_csv_types_are_promoted_over_the_whole_file(spark, tmp_path):
@@ -76,8 +78,50 @@ def test_feature_selection_refuses_ids(spark):
 def test_random_split_is_exact_and_disjoint(spark, sf):
     t = transactions(spark, sf)
     n = t.count()
-    got = {r["split"]: r["count"] for r in random_split(t, [0.6, 0.1, 0.1, 0.2], "1").groupBy("split").count().collect()}
-    assert abs(got["train"] - int(0.6 * n)) <= 1 and sum(got.values()) in (n, n - 1)
+    for sizes in ([n - 30, 10, 15, 5], fifth_held_out(n)):
+        got = {r["split"]: r["count"] for r in random_split(t, sizes, "1").groupBy("split").count().collect()}
+        assert [got[x] for x in SPLIT_NAMES] == sizes and sum(sizes) == n
+    assert fifth_held_out(1000) == [613, 100, 87, 200]
+
+
+def test_overlap_counts_every_row_outside_the_test_part(spark):
+    df = spark.createDataFrame([("a", "test"), ("a", "calibration"), ("b", "test"), ("c", "train")], "account_id string, split string")
+    assert account_overlap(df).first()[:2] == (2, 1)
+
+
+def test_only_a_missing_path_counts_as_absent(spark, tmp_path):
+    assert read_if_there(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("this is no table")
+    with pytest.raises(Exception):
+        read_if_there(spark, str(tmp_path / "broken"))
+
+
+def test_scratch_lies_in_the_shared_folder_and_pinning_elsewhere_needs_one(spark):
+    from types import SimpleNamespace
+
+    from tollgate import session
+    assert "scratch-" in session.scratch(spark)
+    away = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        session.shared_folder(SimpleNamespace(sparkContext=away, conf={}))
+
+
+def test_alignment_reports_missing_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "transaction_id long, v string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "transaction_id long")
+    assert Tb.aligned(df, ids(1, 3)).count() == 2
+    for wrong in (ids(1, 9), ids(2), ids(1, 1)):
+        with pytest.raises(ValueError):
+            Tb.aligned(df, wrong)
+
+
+def test_levels_met_after_fitting_keep_an_indicator(spark):
+    df = spark.createDataFrame([(i, f"v{i % 20}" if i < 100 else f"w{i}", i < 100) for i in range(1000)] + [(1000, None, False)],
+                               "transaction_id int, c string, old boolean")
+    out, names = E.one_hot(df, "c", F.col("old"))
+    assert len(names) == 22
+    assert out.select(sum(F.col(f"`{n}`") for n in names).alias("s")).where("s <> 1").isEmpty()
 
 
 def test_fold_windows_do_not_overlap(spark):
@@ -100,7 +144,7 @@ def test_isotonic_is_monotone_and_clips(spark):
 def test_walk_forward_invariants(spark, sf):
     from tollgate.session import pinned
     df = pinned(C.model_rows(spark, sf).drop("segment"))
-    folds = W.run_config("x", df, (24,), 3, C.QUICK)
+    folds = W.run_config("x", df, (24,), 3, Tr.Boosting(rounds=4, depth=3, min_leaf_rows=10, bins=32, step=0.3))
     r = folds.first()
     assert r["cost_oracle"] <= r["cost"] + 1e-6 and r["cost_oracle"] <= r["cost_approve_all"]
     assert 0 <= r["test_pr_auc"] <= 1 and 0 <= r["test_roc_auc"] <= 1
@@ -109,7 +153,22 @@ def test_walk_forward_invariants(spark, sf):
     assert s["cost_total"] == pytest.approx(r["cost"]) and s["pr_auc_sd"] is None
 
 
-def test_text_with_many_levels_is_coded_before_the_trees(spark):
-    df = spark.createDataFrame([(i, f"s{i % 40}", i % 3 / 1.0) for i in range(200)], "transaction_id int, seg string, v double")
-    coded, features = Tr.wide_text_coded(df, Tr.Features(["seg", "v"], ["seg"]), limit=10)
-    assert features.text == [] and dict(coded.dtypes)["seg"] == "int"
+def test_text_is_coded_before_the_trees_whatever_its_levels(spark):
+    for levels in (3, 400):
+        df = spark.createDataFrame([(i, f"s{i % levels}", i % 3 / 1.0) for i in range(800)], "transaction_id int, seg string, v double")
+        coded, features = Tr.text_coded(df, Tr.Features(["seg", "v"], ["seg"]))
+        assert not features.text and dict(coded.dtypes)["seg"] == "int" and coded.agg(F.max("seg")).first()[0] == levels
+    with pytest.raises(ValueError):
+        Tr.tree_ready(df, Tr.Features(["seg"], ["seg"]))
+
+
+def test_interventions_are_all_combinations_of_the_switches(spark, monkeypatch):
+    seen = []
+    def config(name, df, folds, length, settings, transform):
+        seen.append((name, df.first()["d1"], settings.depth, transform is not None))
+        return spark.createDataFrame([(name,)], "config string")
+    monkeypatch.setattr(W, "run_config", config)
+    df = spark.createDataFrame([(9, 2.0)], "txn_day int, d1 double")
+    assert W.interventions(df, (1,), 1, offsets=("d1",)).count() == 8
+    assert seen[0] == ("baseline", 2.0, 5, False) and seen[-1] == ("days re-based, text counted, regularised", 7.0, 4, True)
+    assert len(set(seen)) == 8

@@ -9,7 +9,7 @@ from __future__ import annotations
 from tollgate.functions.costs import threshold_grid
 from tollgate.functions.hashing import poisson_cuts
 from tollgate.operators.experiment import RISK_CUTOFFS
-from tollgate.operators.matching import GAMMAS
+from tollgate.operators.matching import BETAS, GAMMAS
 
 ORACLES: dict[str, str] = {}
 
@@ -588,8 +588,7 @@ NAIVE = """SELECT *, naive - att AS bias_vs_att, naive - ate AS bias_vs_ate, sig
 oracle("ramp_assign", ACC + ramp("1.5"), "SELECT account_id, t FROM rolled", "account_id t:n")
 oracle("naive_att_ate", ACC + ramp("1.5"), NAIVE, "n:n n_treated:n ate:m att:m naive:m bias_vs_att:m bias_vs_ate:m sign_correct")
 
-MATCHED = ACC + [
-    """units AS (SELECT account_id, risk AS logit, CASE WHEN arm = 'challenger' THEN 1 ELSE 0 END AS t, y AS y_obs, n_txn, tot_amt FROM acc)""",
+MATCH_STEPS = [
     "controls AS (SELECT logit, min(account_id) AS first_id, max(account_id) AS last_id FROM units WHERE t = 0 GROUP BY logit)",
     "lim AS (SELECT 0.2::DOUBLE * stddev_samp(logit) AS caliper, min(logit) FILTER (t = 0) AS lo, max(logit) FILTER (t = 0) AS hi FROM units)",
     """near0 AS (SELECT u.account_id, u.logit, b.logit AS bv, b.last_id AS bid FROM (SELECT * FROM units WHERE t = 1) u
@@ -601,6 +600,9 @@ MATCHED = ACC + [
     "kept AS (SELECT * FROM matches WHERE outcome = 'matched')",
     """pairs AS (SELECT k.account_id, k.control_id, CAST(a.y_obs - b.y_obs AS DECIMAL(18,6)) AS diff FROM kept k
   JOIN units a ON a.account_id = k.account_id JOIN units b ON b.account_id = k.control_id)"""]
+MATCHED = ACC + [
+    """units AS (SELECT account_id, risk AS logit, CASE WHEN arm = 'challenger' THEN 1 ELSE 0 END AS t, y AS y_obs, n_txn, tot_amt FROM acc)""",
+    *MATCH_STEPS]
 oracle("nn_match", MATCHED, "SELECT * FROM matches", "account_id logit:m control_id distance:m outcome")
 oracle("match_counts", MATCHED, """SELECT count(*) FILTER (outcome = 'matched') AS treated_used,
   count(DISTINCT control_id) FILTER (outcome = 'matched') AS unique_controls, count(*) FILTER (outcome = 'off_support') AS dropped_support,
@@ -636,12 +638,14 @@ oracle("overlap_hist", ACC, """SELECT CASE WHEN arm = 'challenger' THEN 1 ELSE 0
 
 
 def _bias(beta: str) -> str:
-    return _result(ACC + ramp(beta), NAIVE, "bias_vs_att bias_vs_ate")
+    units = "units AS (SELECT account_id, risk AS logit, t, y_obs, n_txn, tot_amt FROM rolled)"
+    body = f"SELECT *, (SELECT CAST(sum(diff) AS DOUBLE) / count(*) FROM pairs) - att AS bias_matched FROM ({NAIVE})"
+    return _result(ACC + ramp(beta) + [units, *MATCH_STEPS], body, "bias_vs_att bias_vs_ate bias_matched")
 
 
 oracle("bias_pivot", [], " UNION ALL ".join(
-    f"SELECT {b}::DOUBLE AS beta, bias_vs_att AS naive, bias_vs_ate AS naive_vs_ate FROM ({_bias(b)})" for b in ("0.5", "1.5", "-1.5")),
-       "beta:m naive:m naive_vs_ate:m")
+    f"SELECT {b}::DOUBLE AS beta, bias_vs_att AS naive, bias_vs_ate AS naive_vs_ate, bias_matched AS matched FROM ({_bias(repr(float(b)))})"
+    for b in BETAS), "beta:m naive:m naive_vs_ate:m matched:m")
 
 # ---- calibration and ranking tables ----------------------------------------------------------------
 

@@ -855,16 +855,20 @@ def overlap_hist(spark, d):
 
 @query
 def bias_pivot(spark, d):
-    """Bias of two estimators by ramp strength, pivoted."""
+    """Bias of three estimators by ramp strength, pivoted; rows are matched on the risk that steered them."""
     frame = pinned(M.with_z(accounts(spark, d)))
     rows = None
-    for beta in (0.5, 1.5, -1.5):
-        s = M.effect_summary(M.ramp_assignment(frame, beta))
-        part = s.select(F.lit(beta).alias("beta"), F.explode(F.array(
+    for beta in M.BETAS:
+        rolled = M.settled(M.ramp_assignment(frame, beta).withColumn("logit", F.col("risk")))
+        pairs = M.pair_differences(M.match(rolled), rolled)
+        matched = pairs.agg(S.mean_of(F.sum("diff"), F.count("diff")).alias("estimate"))
+        s = M.effect_summary(rolled).withColumn("matched", matched.scalar())
+        part = s.select(F.lit(float(beta)).alias("beta"), F.explode(F.array(
             F.struct(F.lit("naive").alias("estimator"), F.col("bias_vs_att").alias("bias")),
-            F.struct(F.lit("naive_vs_ate").alias("estimator"), F.col("bias_vs_ate").alias("bias")))).alias("r"))
+            F.struct(F.lit("naive_vs_ate").alias("estimator"), F.col("bias_vs_ate").alias("bias")),
+            F.struct(F.lit("matched").alias("estimator"), (F.col("matched") - F.col("att")).alias("bias")))).alias("r"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.select("beta", "r.*").groupBy("beta").pivot("estimator", ["naive", "naive_vs_ate"]).agg(F.first("bias"))
+    return rows.select("beta", "r.*").groupBy("beta").pivot("estimator", ["naive", "naive_vs_ate", "matched"]).agg(F.first("bias"))
 
 
 # ---- calibration and ranking tables ----------------------------------------------------------------

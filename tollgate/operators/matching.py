@@ -14,6 +14,7 @@ from tollgate.functions.hashing import account_uniform
 from tollgate.functions.scalars import mean_of, sample_variance
 from tollgate.operators.experiment import SALT, standardised_differences, upper_tail
 from tollgate.operators.ordering import exact_quantiles, nearest_values, running_totals
+from tollgate.operators.skew import join_keys
 from tollgate.session import pinned
 
 # Ramp strengths, caliper in standard deviations, score clip and sensitivity ladder.
@@ -105,8 +106,8 @@ def match(df: DataFrame, logit: str = "logit", treated: str = "t", row_id: str =
     v = F.col(logit)
     lim = df.agg(F.stddev_samp(v).alias("sd"), F.min(F.when(~t, v)).alias("lo"), F.max(F.when(~t, v)).alias("hi")).first()
     caliper = caliper_sd * (lim["sd"] or 0.0)
-    near = nearest_values(df.withColumn("__c", ~t), logit, "__c", row_id)
-    pairs = df.where(t).select(row_id, logit).join(near, logit)
+    near = pinned(nearest_values(df.withColumn("__c", ~t), logit, "__c", row_id))
+    pairs = join_keys(df.where(t).select(row_id, logit), near, logit, "inner")  # many rows may have one score
     down, up = v - F.col("below_value"), F.col("above_value") - v
     take_low = up.isNull() | (down <= up)
     pairs = pairs.select(row_id, logit,
@@ -122,7 +123,7 @@ def pair_differences(matched: DataFrame, df: DataFrame, value: str = "y_obs", ro
     kept = matched.where(F.col("outcome") == "matched").select(row_id, "control_id")
     mine = df.select(row_id, F.col(value).alias("__mine"))
     theirs = df.select(F.col(row_id).alias("control_id"), F.col(value).alias("__theirs"))
-    return kept.join(mine, row_id).join(theirs, "control_id").select(
+    return join_keys(kept.join(mine, row_id), theirs, "control_id", "inner").select(  # one control may serve many
         row_id, "control_id", (F.col("__mine") - F.col("__theirs")).cast("decimal(18,6)").alias("diff"))
 
 

@@ -15,9 +15,10 @@ from tollgate.session import pinned
 # Covariates an analyst would see, and replicates of the matched effect.
 OBSERVED = ("pre_value", "pre_n", "pre_fraud", "has_pre_period", "n_txn", "tot_amt", "first_amt", "first_hasid")
 ATT_REPLICATES = 400
+CATEGORIES = ("product_cd", "device_type")
 
 
-def covariate_frame(accounts: DataFrame, rows: DataFrame, categories: Sequence[str] = ("product_cd",)) -> tuple[DataFrame, list[str]]:
+def covariate_frame(accounts: DataFrame, rows: DataFrame, categories: Sequence[str] = CATEGORIES) -> tuple[DataFrame, list[str]]:
     """Accounts with standardised observed covariates, plus ``z`` for the one that steers the rollout.
 
     First attributes are first non-null values per column; levels become indicators with a null level.
@@ -47,19 +48,22 @@ def matched_run(assigned: DataFrame, covariates: Sequence[str], replicates: int
     counts = M.match_summary(matched).first().asDict()
     smd = M.balance(scored, matched, covariates).agg(
         F.avg(F.abs("smd_before")).alias("before"), F.avg(F.abs("smd_after")).alias("after")).first()
+    spread = scored.agg(F.stddev_samp("logit")).first()[0]
     gamma = M.overturning_gamma(M.sensitivity_bounds(pairs)).first()["gamma_to_overturn"]
     return {**stats, **counts, "estimate": stats["mean_diff"], "ci_low": ends["ci_low"], "ci_high": ends["ci_high"],
-            "mean_abs_smd_before": smd["before"], "mean_abs_smd_after": smd["after"], "gamma_to_overturn": gamma}
+            "mean_abs_smd_before": smd["before"], "mean_abs_smd_after": smd["after"], "gamma_to_overturn": gamma,
+            "caliper": M.CALIPER_SD * (spread or 0.0)}
 
 
 SCHEMA = ("beta double, estimator string, estimate double, ci_low double, ci_high double, true_att double, true_ate double, "
           "bias_vs_att double, bias_vs_ate double, sign_correct boolean, treated_used long, unique_controls long, "
           "dropped_support long, dropped_caliper long, mean_abs_smd_before double, mean_abs_smd_after double, "
-          "gamma_to_overturn double, zero_pct double, top1pct_share double")
+          "gamma_to_overturn double, zero_pct double, nonzero_neg_pct double, top1pct_share double, median_diff double, caliper double, "
+          "pct_bias double")
 
 
 def scenario_table(accounts: DataFrame, rows: DataFrame, betas: Sequence[float] = M.BETAS,
-                   categories: Sequence[str] = ("product_cd",), replicates: int = ATT_REPLICATES) -> DataFrame:
+                   categories: Sequence[str] = CATEGORIES, replicates: int = ATT_REPLICATES) -> DataFrame:
     """Naive, observed-covariate and oracle-covariate estimates per ramp strength, with diagnostics."""
     frame, observed = covariate_frame(accounts, rows, categories)
     out = []
@@ -73,7 +77,9 @@ def scenario_table(accounts: DataFrame, rows: DataFrame, betas: Sequence[float]
             return (float(beta), name, value, r.get("ci_low"), r.get("ci_high"), att, ate, value - att, value - ate,
                     (value > 0) == (ate > 0) and (value == 0) == (ate == 0),
                     *[r.get(k) for k in ("treated_used", "unique_controls", "dropped_support", "dropped_caliper",
-                                         "mean_abs_smd_before", "mean_abs_smd_after", "gamma_to_overturn", "zero_pct", "top1pct_share")])
+                                         "mean_abs_smd_before", "mean_abs_smd_after", "gamma_to_overturn", "zero_pct", "nonzero_neg_pct",
+                                         "top1pct_share", "median_diff", "caliper")],
+                    100.0 * (value - att) / abs(att) if att else None)
 
         out.append(line("naive difference", truth["naive"], None))
         for name, cols in (("matched, observed", observed), ("matched, oracle", [*observed, "z"])):
@@ -81,9 +87,3 @@ def scenario_table(accounts: DataFrame, rows: DataFrame, betas: Sequence[float]
             if run["estimate"] is not None:
                 out.append(line(name, run["estimate"], run))
     return accounts.sparkSession.createDataFrame(out, SCHEMA)
-
-
-def bias_table(scenarios: DataFrame) -> DataFrame:
-    """Bias against the effect on the treated, ramp strength by estimator."""
-    return scenarios.groupBy("beta").pivot("estimator", ["naive difference", "matched, observed", "matched, oracle"]).agg(
-        F.first("bias_vs_att"))
