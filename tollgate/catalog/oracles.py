@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tollgate.functions.costs import threshold_grid
 from tollgate.functions.hashing import poisson_cuts
-from tollgate.operators.experiment import RISK_CUTOFFS
+from tollgate.operators.experiment import COVARIATES, RISK_CUTOFFS, SRM_HALT_P
 from tollgate.operators.matching import BETAS, GAMMAS
 
 ORACLES: dict[str, str] = {}
@@ -417,6 +417,48 @@ oracle("srm", ACC, """SELECT *, n - n_challenger AS n_champion, (n_challenger -
        "n:n n_challenger:n n_champion:n chi2:m")
 
 
+def upper_tail(z: str) -> str:
+    """P(N(0,1) > z) by the series of odd powers over odd factorials; beyond eight deviations nothing is left at six digits."""
+    size = f"greatest(abs({z}), 1e-300::DOUBLE)"
+    term = f"exp((2 * k + 1) * ln({size}) - (lgamma(2 * k + 2) - k * ln(2::DOUBLE) - lgamma(k + 1)))"
+    half = f"exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: {term}))"
+    return f"CASE WHEN {z} > 8 THEN 0 WHEN {z} < -8 THEN 1 ELSE 0.5::DOUBLE - sign({z}) * {half} END"
+
+
+def residuals(source: str, kept: list[str], covariates: list[str]) -> list[str]:
+    """Table ``left`` with ``kept`` after a linear fit on the covariates: centred, then one covariate after the other."""
+    names = [*kept, *covariates]
+    steps = [f"left0 AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER () AS {c}' for c in names)} FROM {source})"]
+    for i, x in enumerate(covariates):
+        rest = [c for c in names if c not in covariates[:i + 1]]
+        share = "CASE WHEN sum({x} * {x}) OVER () > 1e-9 THEN sum({c} * {x}) OVER () / sum({x} * {x}) OVER () ELSE 0 END"
+        steps.append(f"left{i + 1} AS (SELECT {', '.join(f'{c} - {share.format(c=c, x=x)} * {x} AS {c}' for c in rest)} FROM left{i})")
+    return steps
+
+
+oracle("srm_verdict", ACC, f"""SELECT *, CASE WHEN p_value >= {SRM_HALT_P} THEN 'PASS' ELSE 'HALT' END AS verdict FROM (SELECT *,
+  2 * ({upper_tail("sqrt(chi2)")}) AS p_value FROM (SELECT *, n - n_challenger AS n_champion, (n_challenger - n / 2.0::DOUBLE)
+  * (n_challenger - n / 2.0::DOUBLE) * 2 / (n / 2.0::DOUBLE) AS chi2 FROM (SELECT count(*) AS n, count(*) FILTER (arm = 'challenger') AS n_challenger
+  FROM acc)))""", "n:n n_challenger:n n_champion:n chi2:m p_value:m verdict")
+_SETS = {"account size": ["n_txn"], "pre-period": ["pre_value", "pre_n", "pre_fraud", "has_pre_period"],
+         "pre-period and size": ["pre_value", "pre_n", "pre_fraud", "has_pre_period", "n_txn", "tot_amt"]}
+oracle("risk_explained", [], " UNION ALL ".join(
+    "SELECT * FROM (" + _result(ACC + residuals("acc", ["risk"], cols), f"""SELECT '{name}' AS covariates, 1 - (SELECT sum(risk * risk) FROM left{len(cols)})
+  / (SELECT sum(risk * risk) FROM left0) AS r_squared""", "covariates r_squared") + ")" for name, cols in _SETS.items()), "covariates r_squared:m")
+
+
+def _adjusted(covariates: list[str]) -> str:
+    k = len(covariates)
+    steps = ["obs AS (SELECT *, CASE WHEN arm = 'challenger' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM acc)",
+             *residuals("obs", ["t", "y"], covariates), f"slope AS (SELECT sum(t * y) / sum(t * t) AS b, sum(t * t) AS tt FROM left{k})"]
+    return _result(ACC + steps, f"""SELECT any_value(b) AS effect, sqrt(sum(t * t * (y - b * t) * (y - b * t)) / (any_value(tt) * any_value(tt))
+  * count(*) / (count(*) - {k + 2})) AS se FROM left{k}, slope""", "effect se")
+
+
+oracle("cuped_gain", [], f"""SELECT p.effect, p.se, a.effect AS adjusted_effect, a.se AS adjusted_se, 1 - (a.se / p.se) * (a.se / p.se) AS variance_reduction
+  FROM ({_adjusted([])}) p, ({_adjusted(list(COVARIATES))}) a""", "effect:m se:m adjusted_effect:m adjusted_se:m variance_reduction:m")
+
+
 def welch_of(source: str, group: str = "") -> str:
     """Arm means and variances from exact sums, difference and interval."""
     by = f"{group}, " if group else ""
@@ -616,12 +658,14 @@ oracle("balance", MATCHED + ["""sides AS (SELECT u.*, 1 AS side FROM kept k JOIN
 oracle("boot_att", MATCHED + [reps(400), f"w AS (SELECT rep, diff, {weight_of('42', 'account_id')} AS w FROM pairs CROSS JOIN reps)"],
        "SELECT rep, CAST(sum(w * diff) AS DOUBLE) / sum(w) AS att FROM w GROUP BY rep", "rep:n att:m")
 _GAMMAS = "gammas AS (SELECT CAST(unnest(['" + "','".join(repr(g) for g in GAMMAS) + "']) AS DOUBLE) AS gamma)"
-oracle("rosenbaum", MATCHED + [_GAMMAS, """sized AS (SELECT diff, abs(diff) AS size, (rank() OVER (ORDER BY abs(diff)) +
+_RANKED = MATCHED + [_GAMMAS, """sized AS (SELECT diff, abs(diff) AS size, (rank() OVER (ORDER BY abs(diff)) +
   (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2.0::DOUBLE) AS r FROM pairs WHERE diff <> 0)""",
-                               """sums AS (SELECT count(*) AS pairs, sum(r) FILTER (diff < 0) AS w, sum(r) AS s, sum(r * r) AS s2 FROM sized)"""],
-       """SELECT gamma, pairs, (w - s / (1 + gamma)) / sqrt(gamma / (1 + gamma) / (1 + gamma) * s2) AS z_worst,
-  (w - s * gamma / (1 + gamma)) / sqrt(gamma / (1 + gamma) / (1 + gamma) * s2) AS z_best FROM gammas, sums WHERE pairs >= 10""",
-       "gamma:m pairs:n z_worst:m z_best:m")
+                               """sums AS (SELECT count(*) AS pairs, sum(r) FILTER (diff < 0) AS w, sum(r) AS s, sum(r * r) AS s2 FROM sized)"""]
+_Z = """SELECT gamma, pairs, (w - s / (1 + gamma)) / sqrt(gamma / (1 + gamma) / (1 + gamma) * s2) AS z_worst,
+  (w - s * gamma / (1 + gamma)) / sqrt(gamma / (1 + gamma) / (1 + gamma) * s2) AS z_best FROM gammas, sums WHERE pairs >= 10"""
+oracle("rosenbaum", _RANKED, _Z, "gamma:m pairs:n z_worst:m z_best:m")
+oracle("rosenbaum_bounds", _RANKED, f"SELECT gamma, pairs, {upper_tail('z_worst')} AS p_upper_bound, {upper_tail('z_best')} AS p_lower_bound FROM ({_Z})",
+       "gamma:m pairs:n p_upper_bound:m p_lower_bound:m")
 oracle("pair_concentration", MATCHED + ["""top AS (SELECT sum(size) AS head FROM (SELECT abs(diff) AS size, row_number() OVER (ORDER BY abs(diff) DESC) AS r,
   count(*) OVER () AS n FROM pairs) WHERE r <= greatest(n // 100, 1))"""],
        """SELECT count(*) AS pairs, 100.0::DOUBLE * count(*) FILTER (diff = 0) / count(*) AS zero_pct,
@@ -654,6 +698,16 @@ oracle("isotonic_bins", TXN + ["bins AS (SELECT floor(score * 25) / 25 AS bin, s
   JOIN bins b ON a.bin <= b.bin JOIN bins c ON c.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2)"""],
        """SELECT bin, (SELECT max(m) FROM (SELECT lo, min(rate) AS m FROM spans WHERE hi >= bin AND lo <= bin GROUP BY lo)) AS rate FROM bins""",
        "bin:m rate:m")
+oracle("isotonic_scores", TXN + [
+    "cal AS (SELECT score AS x, sum(is_fraud) AS s, count(*) AS n FROM txn WHERE txn_day >= 21 AND txn_day < 24 GROUP BY 1)",
+    "cum AS (SELECT x, s, n, sum(s) OVER (ORDER BY x) AS st, sum(n) OVER (ORDER BY x) AS nt FROM cal)",
+    "spans AS (SELECT a.x AS lo, b.x AS hi, CAST(b.st - a.st + a.s AS DOUBLE) / (b.nt - a.nt + a.n) AS rate FROM cum a JOIN cum b ON a.x <= b.x)",
+    "lows AS (SELECT hi, min(rate) OVER (PARTITION BY lo ORDER BY hi DESC) AS m FROM spans)",
+    "fit AS (SELECT hi AS x, max(m) AS r FROM lows GROUP BY 1)",
+    "below AS (SELECT t.transaction_id, t.score, f.x AS x0, f.r AS r0 FROM (SELECT * FROM txn WHERE txn_day >= 24) t ASOF LEFT JOIN fit f ON t.score >= f.x)",
+    "both AS (SELECT b.*, f.x AS x1, f.r AS r1 FROM below b ASOF LEFT JOIN fit f ON b.score <= f.x)"],
+       """SELECT transaction_id, score, CASE WHEN x0 IS NULL THEN r1 WHEN x1 IS NULL OR x1 = x0 THEN r0
+  ELSE r0 + (r1 - r0) * (score - x0) / (x1 - x0) END AS calibrated FROM both""", "transaction_id:n score:m calibrated:m")
 oracle("ranked_share", TXN, """SELECT *, pct > 30 AS dominates FROM (SELECT txn_day, amount, 100.0::DOUBLE * CAST(amount AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE)
   AS pct, 100.0::DOUBLE * CAST(sum(amount) OVER (ORDER BY amount DESC, txn_day ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE) AS cum_pct
   FROM (SELECT txn_day, sum(transaction_amt) AS amount FROM txn GROUP BY 1)) ORDER BY amount DESC, txn_day LIMIT 10""",
