@@ -705,9 +705,9 @@ oracle("isotonic_scores", TXN + [
     "lows AS (SELECT hi, min(rate) OVER (PARTITION BY lo ORDER BY hi DESC) AS m FROM spans)",
     "fit AS (SELECT hi AS x, max(m) AS r FROM lows GROUP BY 1)",
     "below AS (SELECT t.transaction_id, t.score, f.x AS x0, f.r AS r0 FROM (SELECT * FROM txn WHERE txn_day >= 24) t ASOF LEFT JOIN fit f ON t.score >= f.x)",
-    "both AS (SELECT b.*, f.x AS x1, f.r AS r1 FROM below b ASOF LEFT JOIN fit f ON b.score <= f.x)"],
+    "placed AS (SELECT b.*, f.x AS x1, f.r AS r1 FROM below b ASOF LEFT JOIN fit f ON b.score <= f.x)"],
        """SELECT transaction_id, score, CASE WHEN x0 IS NULL THEN r1 WHEN x1 IS NULL OR x1 = x0 THEN r0
-  ELSE r0 + (r1 - r0) * (score - x0) / (x1 - x0) END AS calibrated FROM both""", "transaction_id:n score:m calibrated:m")
+  ELSE r0 + (r1 - r0) * (score - x0) / (x1 - x0) END AS calibrated FROM placed""", "transaction_id:n score:m calibrated:m")
 oracle("ranked_share", TXN, """SELECT *, pct > 30 AS dominates FROM (SELECT txn_day, amount, 100.0::DOUBLE * CAST(amount AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE)
   AS pct, 100.0::DOUBLE * CAST(sum(amount) OVER (ORDER BY amount DESC, txn_day ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE) AS cum_pct
   FROM (SELECT txn_day, sum(transaction_amt) AS amount FROM txn GROUP BY 1)) ORDER BY amount DESC, txn_day LIMIT 10""",
