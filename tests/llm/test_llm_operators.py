@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, rules, simhash, toxicity
+from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, reputation, revisits, rules, simhash, toxicity
 from tollgate.llm.catalog import QUERIES
 from tollgate.llm.graph import components
 
@@ -392,3 +392,61 @@ def test_versions_swap_only_sentences_with_groups():
     assert toxicity.versions("Nothing here.") == []
     first, second = toxicity.versions("Some Women came. Nobody else.\nMuslims too")
     assert first == "Some men came. Nobody else.\nchristians too" and second == "Some men came. Nobody else.\njews too"
+
+
+# ---- hosts and archives ------------------------------------------------------------------------------
+
+def test_rules_hosts_and_shrinkage(spark):
+    urls = ["HTTP://WWW.Example.NET/en/1?q#f", "https://a.example.com/de/", "x://org/fr/", "no scheme", None, "ftp://net", "http://net/",
+            "http://notnet/", "http://example.net/EN/", "a://b://c/d?e"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, urls[1])], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in reputation.filter_urls(pages, none).orderBy("page_id").collect()]
+    assert got == [
+        (0, "www.example.net", "/en/1", "example.net/en/", "allow"), (1, "a.example.com", "/de/", "example.com/de/", "block"),
+        (1, "a.example.com", "/de/", "example.com/de/", "block"), (2, "org", "/fr/", "org/fr/", "allow"), (3, "", "", None, "allow"),
+        (4, "", "", None, "allow"), (5, "net", "", None, "allow"), (6, "net", "/", "net/", "block"), (7, "notnet", "/", None, "allow"),
+        (8, "example.net", "/EN/", "net/", "block"), (9, "b:", "//c/d", None, "allow")]
+    many = spark.createDataFrame([(i, f"http://{'bad' if i < 60 else 'good' if i < 400 else f'one{i}'}.site.xx/") for i in range(420)],
+                                 "page_id long, url string")
+    outcomes = spark.range(420).select(F.col("id").alias("page_id"), (F.col("id") < 55).alias("bad"))
+    verdicts = {r.host.split(".")[0]: r.verdict for r in reputation.filter_urls(many, outcomes, ()).collect()}
+    assert verdicts["bad"] == "block" and verdicts["good"] == "allow" and verdicts["one410"] == "allow"
+
+
+def test_revisits_take_the_latest_earlier_response(spark):
+    rows = [(1, "response", "http://www.A.org/x/?b=2&a=1", 10, 200, {"ETag": '"1"', "Age": "5", "Vary": "v"}),
+            (2, "response", "https://a.org:443/x?a=1&b=2#frag", 20, 200, {"etag": '"2"', "Content-Length": "7"}),
+            (3, "revisit", "a.org/x?utm_source=q&b=2&a=1", 20, 304, {"ETag": 'W/"1"', "Vary": "w", "Content-Length": "0"}),
+            (4, "revisit", "http://a.org/x?a=1&b=2", 21, 304, {"ETag": '"1"'}), (5, "revisit", "http://a.org/x?a=1&b=2", 22, 304, None),
+            (6, "revisit", "http://a.org/x?a=1&b=2", 5, 304, {"ETag": '"1"'}), (7, "revisit", None, 30, 304, {"ETag": '"1"'}),
+            (8, "response", None, 1, 200, {"ETag": '"1"'}), (9, "revisit", "http://a.org/x?a=1&b=2", None, 304, {"ETag": '"1"'}),
+            (10, "response", "http://a.org/x?a=1&b=2", 21, 404, {"ETag": '"1"'}), (3, "revisit", "a.org/x?b=2&a=1", 20, 304, {"ETag": 'W/"1"'})]
+    records = spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, status int, headers map<string,string>")
+    got = sorted(((r.record_id, r.base_id, r.status, r.headers) for r in revisits.resolve(records).collect()), key=repr)
+    assert got == sorted([
+        (3, 1, "resolved", {"etag": 'W/"1"', "age": "5", "vary": "w"}), (3, 1, "resolved", {"etag": 'W/"1"', "age": "5", "vary": "v"}),
+        (4, 2, "mismatch", None), (5, 2, "unverified", None), (6, None, "missing", None), (7, None, "missing", None), (9, None, "missing", None)],
+        key=repr)
+    assert revisits.resolve(records.limit(0)).count() == 0
+
+
+def test_a_hot_url_is_resolved_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [(i, "response" if rng.random() < 0.02 else "revisit", "http://h.org/" if i % 3 else f"http://h.org/{i % 5}", rng.randrange(3000),
+             {"etag": str(rng.randrange(2))}) for i in range(3000)]
+    records = spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, headers map<string,string>").withColumn(
+        "status", F.when(F.col("kind") == "response", 200).otherwise(304))
+    full = [r for r in rows if r[1] == "response"]
+    for r in revisits.resolve(records).collect():
+        _, _, url, ts, _ = rows[r.record_id]
+        base = max(((f[3], f[0]) for f in full if f[2].rstrip("/") == url.rstrip("/") and f[3] < ts), default=(None, None))
+        assert r.base_id == base[1]
+
+
+@pytest.mark.parametrize("name", ["op6_not_modified_revisits", "op9_host_reputation"])
+def test_statements_agree(spark, sf, name):
+    from tools.check_oracles import compare, database
+
+    ok, note = compare(spark, database(sf), name, sf)
+    assert ok, note

@@ -27,6 +27,39 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
+def _shrunk(level: str, groups: str, parent: str) -> str:
+    """Posterior counts a and b of the groups of one level; `groups` has bad, n and the parent's mean."""
+    return f"""{level}_prior AS (SELECT *, (SELECT 1 / coalesce(least(0.5::DOUBLE, greatest(1e-4::DOUBLE, sum(n * (rate - {parent}) * (rate - {parent})
+    - {parent} * (1 - {parent})) / nullif(sum((n - 1) * {parent} * (1 - {parent})), 0))), 1e-4::DOUBLE) - 1
+    FROM (SELECT *, CAST(bad AS DOUBLE) / n AS rate FROM ({groups}) WHERE n > 0)) AS strength FROM ({groups})),
+{level} AS (SELECT *, strength * {parent} + bad AS a, strength - strength * {parent} + n - bad AS b FROM {level}_prior)"""
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+_RANKED = sorted(reputation.RULES, key=lambda r: -len(r[0] + r[1]))
+_NAME, _SAYS = ("CASE " + " ".join(f"WHEN {_fits(h, p)} THEN '{(h + p, v)[k]}'" for h, p, v in _RANKED) + " END" for k in (0, 1))
+ORACLES["op9_host_reputation"] = f"""
+WITH rests AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^.*?://(.*)$', 1, 's') AS rest FROM pages),
+placed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{reputation.UPPER}', '{reputation.LOWER}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+outcomes AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+hosts AS (SELECT host, coalesce(sum(bad), 0) AS bad, count(bad) AS n, regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) AS domain,
+  regexp_extract(host, '[^.]*$', 0) AS suffix FROM placed LEFT JOIN outcomes USING (page_id) GROUP BY host),
+domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY 1),
+overall AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 5.0::DOUBLE) AS rate0 FROM suffixes),
+{_shrunk("s", "SELECT * FROM suffixes, overall", "rate0")},
+{_shrunk("d", "SELECT domains.*, s.a / (s.a + s.b) AS rate1 FROM domains JOIN s USING (suffix)", "rate1")},
+{_shrunk("h", "SELECT hosts.*, d.a / (d.a + d.b) AS rate2 FROM hosts JOIN d USING (domain)", "rate2")},
+bounds AS (SELECT host, n, bad, pow(sin(greatest(0, asin(sqrt(a / (a + b))) - 1.645::DOUBLE / (2 * sqrt(a + b + 1)))), 2) AS bound FROM h)
+SELECT page_id, host, path, {_NAME} AS rule, coalesce({_SAYS}, CASE WHEN bound > 0.25 THEN 'block' ELSE 'allow' END) AS verdict,
+  n AS n_labelled, CAST(bad AS BIGINT) AS n_bad FROM placed JOIN bounds USING (host)"""
+
+
 @query
 def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""

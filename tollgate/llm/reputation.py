@@ -7,6 +7,7 @@ rate is above a threshold, so a host with few labels is judged mostly by what it
 
 Null or malformed urls have an empty host and path; they form one host of their own. Null labels are ignored, repeated labels
 of one page count once (bad if any says so), repeated pages are separate rows. Empty tables give empty results.
+Without labels every host has a bad rate of 0.1.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ RULES: tuple[Rule, ...] = (
     ("org", "/fr/", "allow"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PRIOR = (0.5, 4.5)  # bad and good outcomes added to all labelled ones
 LEAST_SPREAD, MOST_SPREAD = 1e-4, 0.5  # of the intra-group correlation
 
 
@@ -51,7 +53,7 @@ def spread(groups: DataFrame, parent: Column) -> DataFrame:
     """Prior strength of one level: 1 / rho - 1, where rho is the correlation of outcomes inside a group."""
     m, n = parent, F.col("n").cast("double")
     rate, noise = F.col("bad") / n, m * (1 - m)
-    rho = F.sum(n * (rate - m) * (rate - m) - noise) / F.sum((n - 1) * noise)
+    rho = F.try_divide(F.sum(n * (rate - m) * (rate - m) - noise), F.sum((n - 1) * noise))  # null if no group has two labels
     bounded = F.coalesce(F.least(F.lit(MOST_SPREAD), F.greatest(F.lit(LEAST_SPREAD), rho)), F.lit(LEAST_SPREAD))
     return groups.where("n > 0").agg((1 / bounded - 1).alias("strength"))
 
@@ -80,7 +82,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
              .withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("parent"))
+    bad, good = PRIOR
+    overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + bad) / (F.coalesce(F.sum("n"), F.lit(0)) + bad + good)).alias("parent"))
 
     def mean(level: str) -> Column:
         return F.col(level + "_a") / (F.col(level + "_a") + F.col(level + "_b"))
