@@ -20,7 +20,7 @@ null doc_id gets the component of its class and never names one unless nothing e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -45,18 +45,24 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint(text: bytes) -> int:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
+    """A hash of every `size` successive words, in lower case; a shorter text counts as one shingle, one without words has none."""
     tokens = words(text.lower())
     if not tokens:
-        return 0
+        return []
     line, n = b" ".join(tokens), len(tokens)
-    if n < SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends[:n - SHINGLE])]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1:])]
+    if n < size:
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:n - size])]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1:])]
+
+
+def fingerprint(text: bytes) -> int:
+    hashes = shingle_hashes(text)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<i8")[0])
@@ -219,28 +225,31 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     return found.where("not hot").select("a", "b").unionByName(chains)
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
-    prints = pinned(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    labels = components(links(classes, most))
+def assigned(prints: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`prints(doc_id, fp)` with component_id, the smallest doc_id of all classes under one label."""
     named = (classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
              .where("n > 1 or label is not null"))
     linked = named.where("label is not null").groupBy("label").agg(F.min("least").alias("component"))
     known = pinned(join_keys(named, linked, "label").select("fp", F.coalesce("component", "least").alias("component")))
-    return (join_keys(prints, known, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    F.coalesce("component", "doc_id").alias("component_id")))
+    return join_keys(prints, known, "fp").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
+    prints = pinned(fingerprints(docs))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    return assigned(prints, classes, components(links(classes, most))).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """`docs` with one row of every component: the one with the smallest doc_id."""
+def keep_one(docs: DataFrame, most: int = MOST, judge: Callable[[DataFrame, int], DataFrame] = near_duplicates) -> DataFrame:
+    """`docs` with one row of every component that `judge` finds: the one with the smallest doc_id."""
     repeated = docs.groupBy(F.col("doc_id").alias("k")).count().where("count > 1 or k is null")
     if repeated.isEmpty():
-        judged = near_duplicates(docs, most)
+        judged = judge(docs, most)
         return join_keys(docs, judged.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
     # Rows that doc_id does not tell apart are numbered; the numbers hold because the numbered rows are written out.
     numbered = pinned(docs.withColumn("__row", F.monotonically_increasing_id()))
-    judged = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), most)
+    judged = judge(numbered.select(F.col("__row").alias("doc_id"), "text"), most)
     dropped = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
     return join_keys(numbered, dropped, "__row", "left_anti").drop("__row")
