@@ -104,8 +104,8 @@ def test_a_shared_folder_is_required_away_from_local_sessions(spark):
         shared_folder(Elsewhere)
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
