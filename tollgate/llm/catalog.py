@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, repair, reputation, revisits, rules, simhash, toxicity
+from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, repair, reputation, revisits, rules, simhash, toxicity, tries
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,12 @@ def op6_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "base_id", "status", F.array_join(F.array_sort(lines), "\n").alias("headers"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, price, edits and digest of the cheapest repair of every conversation."""
