@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import bloomlm, extraction, leaks, passages, pieces, repair, reputation, revisits, rules, simhash, toxicity, tries
+from tollgate.llm import automata, bloomlm, extraction, leaks, passages, pieces, repair, reputation, revisits, rules, simhash, toxicity, tries
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,13 @@ def op6_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "base_id", "status", F.array_join(F.array_sort(lines), "\n").alias("headers"))
 
 
+@query
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and the digest of the rest of every document."""
+    cut = automata.remove_windows(table(spark, sf_dir, "documents"))
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
