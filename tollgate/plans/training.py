@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,16 +19,24 @@ from pyspark.sql import types as T
 
 from tollgate.functions.scalars import feature_columns, leaked_columns
 from tollgate.operators.encoders import category_codes, median_impute, one_hot, standardise
+from tollgate.operators.metrics import ranking_quality
+from tollgate.session import pinned
 
 DOMINANT_PCT = 30
 MISSING = -1e9  # below every feature value: one split isolates the missing rows
+PREFIX_CELLS = 4096  # steps of the scores by which prefixes of an ensemble are ranked
 
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings of the boosted trees. Early stopping watches the rows flagged as validation."""
+    """Settings of the boosted trees.
 
-    rounds: int = 60
+    Boosting stops once the best number of rounds, by average precision on the early-stop rows, is
+    ``patience`` rounds old. ``rounds`` is the limit.
+    """
+
+    rounds: int = 3000
+    patience: int = 100
     depth: int = 5
     step: float = 0.05
     row_share: float = 0.8
@@ -72,17 +84,81 @@ def text_coded(df: DataFrame, features: Features) -> tuple[DataFrame, Features]:
     return df, Features(features.names)
 
 
+def leaf_outputs(model: GBTClassificationModel) -> np.ndarray:
+    """Weighted output of every leaf, one line per tree; leaves are numbered from left to right, as in ``leafCol``."""
+    trees = [[float(x) for x in re.findall(r"Predict: (\S+)", text)] for text in re.split(r"\n  Tree \d+ ", model.toDebugString)[1:]]
+    out = np.zeros((len(trees), max(map(len, trees))))
+    for tree, (leaves, weight) in enumerate(zip(trees, model.treeWeights)):
+        out[tree, :len(leaves)] = weight * np.array(leaves)
+    return out
+
+
+def prefix_quality(model: GBTClassificationModel, rows: DataFrame, label: str) -> DataFrame:
+    """Average precision of every prefix of the ensemble on ``rows`` (with assembled features): round, average_precision.
+
+    One pass: the outputs of the trees are added up along the ensemble for each row, and rows are counted by (round, step of
+    the score). Scores of one step count as equal. Result rows are one per round.
+    """
+    outputs = leaf_outputs(model)
+    leaves = vector_to_array(F.col("__leaves"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds = np.arange(len(outputs))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                leaf = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(outputs))
+                margin = np.cumsum(outputs[rounds, leaf], axis=1)
+                step = np.floor(PREFIX_CELLS / (1.0 + np.exp(-2.0 * margin))).astype(np.int64)
+                bad = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                cells, n = np.unique((rounds * (PREFIX_CELLS + 1) + step) * 2 + bad[:, None], return_counts=True)
+                cell, bad = cells >> 1, cells & 1
+                yield pa.RecordBatch.from_arrays([pa.array(cell // (PREFIX_CELLS + 1) + 1), pa.array((cell % (PREFIX_CELLS + 1)).astype(float)),
+                                                  pa.array(n * bad), pa.array(n * (1 - bad))], ["round", "score", "pos", "neg"])
+
+    counts = model.setLeafCol("__leaves").transform(rows).select(leaves, label).mapInArrow(
+        counted, "round bigint, score double, pos bigint, neg bigint")
+    cells = counts.groupBy("round", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return ranking_quality(cells, ["round"]).select("round", "average_precision")
+
+
+def best_prefix(quality: DataFrame, grown: int) -> int:
+    """The first round of the best average precision; all rounds if the watched rows have no positives."""
+    known = quality.where("average_precision is not null")
+    best = known.agg(F.max_by("round", F.struct("average_precision", -F.col("round"))).alias("r")).first()["r"]
+    return grown if best is None else int(best)
+
+
 def fit_boosted(df: DataFrame, features: Features, train: Column, early_stop: Column,
                 settings: Boosting = Boosting(), label: str = "is_fraud") -> PipelineModel:
-    rows = tree_ready(df.where(train | early_stop), features).withColumns(
-        {"__validation": early_stop, label: F.col(label).cast("double")})
-    trees = GBTClassifier(
-        featuresCol="__x", labelCol=label, validationIndicatorCol="__validation", maxIter=settings.rounds,
-        maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.row_share,
-        minInstancesPerNode=settings.min_leaf_rows, maxBins=settings.bins, seed=settings.seed,
-        featureSubsetStrategy=settings.feature_share)
-    assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features.names], outputCol="__x")
-    return Pipeline(stages=[assembler, trees]).fit(rows)
+    """Boosted trees, cut at the best prefix. Its number of trees is the best iteration.
+
+    Rounds are grown until the best prefix is ``patience`` rounds old. Spark ML cannot go on with a fitted ensemble,
+    so a longer one is grown anew with twice the rounds; with one seed and the same stored rows it begins with the same trees.
+    """
+    inputs = VectorAssembler(inputCols=[f"x_{c}" for c in features.names], outputCol="__x")
+    rows = inputs.transform(tree_ready(df.where(train | early_stop), features)).select(
+        "__x", F.col(label).cast("double").alias(label), train.alias("__train"))
+    rows = pinned(rows)
+    fitted, watched = rows.where("__train").persist(StorageLevel.MEMORY_AND_DISK), rows.where("not __train")
+
+    def grow(rounds: int) -> GBTClassificationModel:
+        return GBTClassifier(
+            featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=settings.depth, stepSize=settings.step,
+            subsamplingRate=settings.row_share, minInstancesPerNode=settings.min_leaf_rows, maxBins=settings.bins,
+            seed=settings.seed, featureSubsetStrategy=settings.feature_share, checkpointInterval=50).fit(fitted)
+
+    try:
+        grown = min(settings.rounds, settings.patience + settings.patience // 4)
+        while True:
+            trees = grow(grown)
+            best = best_prefix(prefix_quality(trees, watched, label), grown)
+            if best + settings.patience <= grown or grown >= settings.rounds:
+                break
+            grown = min(settings.rounds, 2 * grown)
+        return PipelineModel(stages=[inputs, trees if best == grown else grow(best)])
+    finally:
+        fitted.unpersist()
 
 
 def score_boosted(model: PipelineModel, df: DataFrame, features: Features, out: str = "score_raw") -> DataFrame:
@@ -124,7 +200,7 @@ def linear_matrix(df: DataFrame, features: Features, train: Column) -> tuple[Dat
     return standardise(out, names, train), names
 
 
-def fit_linear(df: DataFrame, names: Sequence[str], train: Column, label: str = "is_fraud", max_iter: int = 200):
+def fit_linear(df: DataFrame, names: Sequence[str], train: Column, label: str = "is_fraud", max_iter: int = 3000):
     rows = VectorAssembler(inputCols=list(names), outputCol="__x").transform(
         df.where(train).withColumn(label, F.col(label).cast("double")))
     n = rows.count()
