@@ -8,6 +8,7 @@ from tollgate.functions import scalars as S
 from tollgate.operators import quality
 from tollgate.operators import velocity as V
 from tollgate.plans import marts
+from tollgate.session import pinned
 
 ROWS = "transaction_id long, card1 long, addr1 double, d1 double, txn_day long"
 
@@ -133,6 +134,37 @@ def test_incremental_load_equals_full_build_and_ignores_late_rows(spark, tmp_pat
     assert marts.read_fact(spark, path).where("transaction_id = 4").first()["prior_txn_count"] == 4
 
 
+def test_increments_carry_the_state_of_older_days(spark, tmp_path, monkeypatch):
+    """Loads far apart equal a full build; only days after the stored state are summed up, and a late row makes it invalid."""
+    path, summed = str(tmp_path / "fact"), []
+    honest = marts.history_sums
+
+    def watched(rows):
+        summed.append([r["txn_day"] for r in rows.select("txn_day").distinct().orderBy("txn_day").collect()])
+        return honest(rows)
+
+    monkeypatch.setattr(marts, "history_sums", watched)
+    rows = [(i, i * 31_000 % (40 * 86400), str(i % 9) + ".5") for i in range(1, 400)]
+    cols = ["transaction_id", "prior_txn_count", "prior_amt_sum", "prior_amt_mean", "txn_count_1h", "txn_count_7d", "seconds_since_prev_txn"]
+
+    def loaded(df, last):
+        assert marts.load_new_days(df.where(f"txn_day <= {last}"), path) == last
+        return sorted(map(tuple, marts.read_fact(spark, path, cols).collect()))
+
+    df = pinned(_days(spark, rows))
+    full = sorted(map(tuple, marts.build_fact(df).select(*cols).collect()))
+    loaded(df, 12)
+    loaded(df, 20)
+    loaded(df, 30)
+    assert loaded(df, 39) == full
+    assert [(d[0], d[-1]) for d in summed] == [(0, 5), (6, 13), (14, 23)]
+    late = pinned(df.unionByName(_days(spark, [(900, 2 * 86400 + 5, "7"), (901, 40 * 86400, "8")])))
+    marts.load_new_days(late, path)
+    assert summed[-1][0] == 0  # the late row is in no stored state
+    row = marts.read_fact(spark, path).where("transaction_id = 901").first()
+    assert row["prior_txn_count"] == 400 and marts.read_fact(spark, path).where("transaction_id = 900").isEmpty()
+
+
 def test_new_row_with_a_stored_id_replaces_the_stored_row(spark, tmp_path):
     path = str(tmp_path / "fact")
     marts.load_new_days(_days(spark, [(1, 10, "1"), (2, 20, "2")]), path)

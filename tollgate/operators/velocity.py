@@ -36,7 +36,7 @@ def feature_names(horizons: Mapping[str, int] = HORIZONS) -> list[str]:
             "prev_transaction_dt", "amt_to_prior_mean_ratio", "seconds_since_prev_txn"]
 
 
-def _exact(df: DataFrame, amt: str) -> Column:
+def exact(df: DataFrame, amt: str) -> Column:
     """Floating amounts as decimals, so that a sum does not depend on the order of its rows."""
     kind = df.schema[amt].dataType
     return F.col(amt).cast("decimal(28,9)") if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(amt)
@@ -48,7 +48,7 @@ def _by_window(df: DataFrame, key: str, ts: str, amt: str, horizons: Mapping[str
     timed = F.col(ts).isNotNull()
     cols = {
         "prior_txn_count": F.when(timed, F.count(ts).over(prior)).otherwise(0),
-        "prior_amt_sum": F.when(timed, F.sum(F.when(timed, _exact(df, amt))).over(prior)).cast(_prior_sum_type(df, amt)),
+        "prior_amt_sum": F.when(timed, F.sum(F.when(timed, exact(df, amt))).over(prior)).cast(_prior_sum_type(df, amt)),
         "prev_transaction_dt": F.when(timed, F.max(ts).over(prior)),
     }
     cols.update({f"txn_count_{name}": F.when(timed, F.count(ts).over(w.rangeBetween(-width, -1))).otherwise(0)
@@ -62,7 +62,7 @@ def _by_slots(df: DataFrame, key: str, ts: str, amt: str, horizons: Mapping[str,
     given, key, named = df, "__account", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     df = df.withColumn(key, named)
     ticks = df.where(F.col(ts).isNotNull()).groupBy(key, F.col(ts).alias("__src")).agg(
-        F.count("*").alias("__n"), F.sum(_exact(df, amt)).alias("__s"))
+        F.count("*").alias("__n"), F.sum(exact(df, amt)).alias("__s"))
     # A tick itself, plus one empty probe at the start of each look-back horizon.
     nothing = F.lit(None).cast(ticks.schema["__s"].dataType)
     marks = [F.struct(F.lit(0).alias("w"), F.col("__src").alias("at"), F.col("__n").alias("n"),

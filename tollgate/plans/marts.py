@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tollgate.functions.keys import account_key, is_degraded
 from tollgate.functions.scalars import (DAY_OFFSETS, hour_of, log_amount, rebased_offsets, weekday_of)
 from tollgate.operators.skew import join_keys
-from tollgate.operators.velocity import HORIZONS, velocity
+from tollgate.operators.velocity import HORIZONS, exact, velocity, with_derived
 from tollgate.session import pinned
 from tollgate.sources.tables import packed, read_if_there, write_parquet
 
+DAY_SECONDS = 86_400
 KeyFunction = Callable[[], tuple[Column, Column]]
 
 
@@ -39,23 +40,100 @@ def build_fact(txn: DataFrame, identity: DataFrame | None = None, key: KeyFuncti
 
     One exchange on the account carries all look-back frames; each later block is one projection.
     """
-    looked_back = velocity(with_key(txn, key), horizons=horizons)
+    return with_blocks(velocity(with_key(txn, key), horizons=horizons), identity)
+
+
+def with_blocks(looked_back: DataFrame, identity: DataFrame | None = None) -> DataFrame:
+    """The blocks of a fact row that need no other row, and the side table."""
     derived = {"log_amount": log_amount(), "txn_hour": hour_of(), "txn_dow": weekday_of()}
-    derived.update(rebased_offsets([c for c in DAY_OFFSETS if c in txn.columns]))
+    derived.update(rebased_offsets([c for c in DAY_OFFSETS if c in looked_back.columns]))
     return with_identity(looked_back.withColumns(derived), identity)
 
 
-def rebuilt_rows(txn: DataFrame, after_day: int, identity: DataFrame | None = None,
-                 key: KeyFunction = account_key) -> DataFrame:
+def tail_days(horizons: Mapping[str, int] = HORIZONS) -> int:
+    """Whole days before a new day that a look-back horizon can reach."""
+    return -(-max(horizons.values()) // DAY_SECONDS)
+
+
+def history_sums(rows: DataFrame) -> DataFrame:
+    """Count, sum and last time per account of keyed rows: what a later row needs of rows beyond every horizon."""
+    return rows.where(F.col("transaction_dt").isNotNull()).groupBy("account_id").agg(
+        F.count("*").alias("base_count"), F.sum(exact(rows, "transaction_amt")).alias("base_sum"),
+        F.max("transaction_dt").alias("base_last"))
+
+
+def day_marks(txn: DataFrame, through: int) -> DataFrame:
+    """Rows and a sum of row hashes per day up to ``through``: tells whether late rows changed a day."""
+    row = F.xxhash64("transaction_id", "transaction_dt", "transaction_amt").cast("decimal(38,0)")
+    return txn.where(F.col("txn_day") <= through).groupBy("txn_day").agg(
+        F.count("*").alias("n"), F.sum(row).cast("string").alias("mark"))
+
+
+def account_state(txn: DataFrame, through: int, path: str, key: KeyFunction = account_key) -> DataFrame:
+    """`history_sums` of all days up to ``through``, carried on from the state table of an earlier load.
+
+    The table has two slots, the newer and the older state; a state is valid if the days it covers still have
+    the rows it has seen. Only the days after it are read. Without a valid state all days are summed up.
+    """
+    spark = txn.sparkSession
+    # One row per loaded day.
+    marks = {r["txn_day"]: (r["n"], r["mark"]) for r in day_marks(txn, through).collect()}
+    slots = {}
+    for slot in (0, 1):
+        days = read_if_there(spark, f"{path}/days-{slot}")
+        if days is not None:
+            rows = days.collect()  # one per day; the row of the state itself has the day it goes through and no count
+            end = max(r["txn_day"] for r in rows if r["n"] is None)
+            slots[slot] = (end, {r["txn_day"]: (r["n"], r["mark"]) for r in rows if r["n"] is not None})
+    valid = [(end, slot) for slot, (end, seen) in slots.items()
+             if end <= through and seen == {d: m for d, m in marks.items() if d <= end}
+             # A load that ended between the two writes leaves sums that go through another day.
+             and spark.read.parquet(f"{path}/accounts-{slot}").agg(F.max("through").alias("d")).first()["d"] in (end, None)]
+    keyed = with_key(txn, key)
+    if valid:
+        end, slot = max(valid)
+        stored = spark.read.parquet(f"{path}/accounts-{slot}").drop("through")
+        if end == through:
+            return stored
+        newer = history_sums(keyed.where(F.col("txn_day").between(end + 1, through)))
+        state = stored.unionByName(newer).groupBy("account_id").agg(
+            F.sum("base_count").alias("base_count"), F.sum("base_sum").cast(stored.schema["base_sum"].dataType).alias("base_sum"),
+            F.max("base_last").alias("base_last"))
+        target = 1 - slot
+    else:
+        state = history_sums(keyed.where(F.col("txn_day") <= through))
+        target = min(slots, key=lambda x: slots[x][0]) if len(slots) == 2 else len(slots)
+    write_parquet(state.withColumn("through", F.lit(through).cast("bigint")), f"{path}/accounts-{target}")
+    rows = [(d, n, m) for d, (n, m) in marks.items()] + [(through, None, None)]
+    write_parquet(spark.createDataFrame(rows, "txn_day bigint, n bigint, mark string").coalesce(1), f"{path}/days-{target}")
+    return spark.read.parquet(f"{path}/accounts-{target}").drop("through")
+
+
+def rebuilt_rows(txn: DataFrame, after_day: int, identity: DataFrame | None = None, key: KeyFunction = account_key,
+                 state_path: str | None = None, horizons: Mapping[str, int] = HORIZONS) -> DataFrame:
     """Fact rows of days after ``after_day``, with features over the full history.
 
-    The day filter has to stay above the window. What may be pruned before it is accounts without
-    a new row: the account is the partition key, so other accounts cannot change the result.
+    The window reads the new days and the days that a horizon can reach, of the accounts that have new rows. All
+    that lies before comes as one row per account from the state table.
     """
     keyed = with_key(txn, key)
+    bound = after_day - tail_days(horizons)
     touched = pinned(keyed.where(F.col("txn_day") > after_day).select("account_id").distinct())
-    history = join_keys(keyed, touched, "account_id", "left_semi").select(*txn.columns)
-    return build_fact(history, identity, key).where(F.col("txn_day") > after_day)
+    recent = join_keys(keyed.where(F.col("txn_day") > bound), touched, "account_id", "left_semi")
+    looked_back = velocity(recent, horizons=horizons).where(F.col("txn_day") > after_day)
+    state = account_state(txn, bound, state_path, key) if state_path else history_sums(keyed.where(F.col("txn_day") <= bound))
+    # A null key is an account, too.
+    named = F.coalesce(F.concat(F.lit("="), F.col("account_id").cast("string")), F.lit(""))
+    joined = join_keys(looked_back.withColumn("__account", named), state.withColumn("__account", named).drop("account_id"), "__account")
+    timed = F.col("transaction_dt").isNotNull()
+    recent_sum = F.col("prior_amt_sum").cast(state.schema["base_sum"].dataType)
+    total = F.when(timed, F.coalesce(recent_sum + F.col("base_sum"), recent_sum, F.col("base_sum")))
+    whole = joined.withColumns({
+        "prior_txn_count": F.col("prior_txn_count") + F.when(timed, F.coalesce("base_count", F.lit(0))).otherwise(0),
+        "prior_amt_sum": total.cast(looked_back.schema["prior_amt_sum"].dataType),
+        "prev_transaction_dt": F.coalesce("prev_transaction_dt", F.when(timed, F.col("base_last")))})
+    rows = with_derived(whole, "transaction_dt", "transaction_amt").select(*looked_back.columns)
+    return with_blocks(rows, identity)
 
 
 def loaded_through(spark, path: str) -> int:
@@ -69,31 +147,33 @@ def load_new_days(txn: DataFrame, path: str, identity: DataFrame | None = None,
                   reprocess_from: int | None = None) -> int:
     """Append the days the fact table does not have yet; returns the day it was loaded through.
 
-    A late row of a loaded day is not picked up unless ``reprocess_from`` reopens that day. Each
+    Rows without a day take no part. A late row of a loaded day is not picked up unless ``reprocess_from`` reopens that day. Each
     day is one partition and is replaced as a whole, so a re-run or a retry changes nothing. A new
     row whose id is already stored under an older day replaces the stored row.
     """
     spark = txn.sparkSession
     through = loaded_through(spark, path)
     start = through if reprocess_from is None else min(through, reprocess_from - 1)
-    if txn.where(F.col("txn_day") > start).isEmpty():
+    new = txn.where(F.col("txn_day") > start)
+    newest = new.agg(F.max("txn_day").alias("d")).first()["d"]
+    if newest is None:
         return through
-    fresh = rebuilt_rows(txn, start, identity, key)
     if through < 0:
-        write_parquet(fresh, path, ["txn_day"])
-        return loaded_through(spark, path)
-    fresh = pinned(fresh)
+        write_parquet(build_fact(txn.where(F.col("txn_day").isNotNull()), identity, key), path, ["txn_day"])
+        return int(newest)
+    batch = rebuilt_rows(txn, start, identity, key, f"{path.rstrip('/')}_state")
     stored = spark.read.parquet(path)
     # Partition order of columns: the day comes last when read back.
     moved = stored.where(F.col("txn_day") <= start).join(
-        fresh.select("transaction_id"), "transaction_id", "left_semi").select("txn_day").distinct()
+        new.select("transaction_id"), "transaction_id", "left_semi").select("txn_day").distinct()
     days = [r["txn_day"] for r in moved.collect()]  # at most one entry per loaded day
-    rewritten = stored.where(F.col("txn_day").isin(days) & (F.col("txn_day") <= start)).join(
-        fresh.select("transaction_id"), "transaction_id", "left_anti") if days else None
-    batch = fresh if rewritten is None else fresh.unionByName(pinned(rewritten), allowMissingColumns=True)
+    if days:
+        kept = stored.where(F.col("txn_day").isin(days) & (F.col("txn_day") <= start)).join(
+            new.select("transaction_id"), "transaction_id", "left_anti")
+        batch = pinned(batch.unionByName(kept, allowMissingColumns=True))
     (packed(batch, ["txn_day"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "snappy").partitionBy("txn_day").parquet(path))
-    return loaded_through(spark, path)
+    return max(int(newest), through)
 
 
 def read_fact(spark, path: str, columns: Sequence[str] | None = None) -> DataFrame:
