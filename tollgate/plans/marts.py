@@ -82,9 +82,8 @@ def account_state(txn: DataFrame, through: int, path: str, key: KeyFunction = ac
     for slot in (0, 1):
         days = read_if_there(spark, f"{path}/days-{slot}")
         if days is not None:
-            rows = days.collect()  # one per day; the row of the state itself has the day it goes through and no count
-            end = max(r["txn_day"] for r in rows if r["n"] is None)
-            slots[slot] = (end, {r["txn_day"]: (r["n"], r["mark"]) for r in rows if r["n"] is not None})
+            rows = days.collect()  # one per day, and one without a day for the state itself
+            slots[slot] = (rows[0]["through"], {r["txn_day"]: (r["n"], r["mark"]) for r in rows if r["txn_day"] is not None})
     valid = [(end, slot) for slot, (end, seen) in slots.items()
              if end <= through and seen == {d: m for d, m in marks.items() if d <= end}
              # A load that ended between the two writes leaves sums that go through another day.
@@ -104,8 +103,9 @@ def account_state(txn: DataFrame, through: int, path: str, key: KeyFunction = ac
         state = history_sums(keyed.where(F.col("txn_day") <= through))
         target = min(slots, key=lambda x: slots[x][0]) if len(slots) == 2 else len(slots)
     write_parquet(state.withColumn("through", F.lit(through).cast("bigint")), f"{path}/accounts-{target}")
-    rows = [(d, n, m) for d, (n, m) in marks.items()] + [(through, None, None)]
-    write_parquet(spark.createDataFrame(rows, "txn_day bigint, n bigint, mark string").coalesce(1), f"{path}/days-{target}")
+    own = spark.range(1).select(F.lit(None).cast("bigint").alias("txn_day"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("mark"))
+    days = day_marks(txn, through).unionByName(own).withColumn("through", F.lit(through).cast("bigint"))
+    write_parquet(days.coalesce(1), f"{path}/days-{target}")
     return spark.read.parquet(f"{path}/accounts-{target}").drop("through")
 
 
