@@ -170,3 +170,28 @@ def test_decile_and_reliability_tables_cover_all_rows(scored):
     df, rows = scored
     assert [r["n"] for r in Q.decile_table(df).orderBy("bin").collect()] == [40] * 10
     assert sum(r["n"] for r in Q.reliability(df).collect()) == len(rows)
+
+
+def test_flip_price_and_envelope_equal_a_search_over_prices(spark, sf):
+    from decimal import Decimal
+
+    from tollgate.functions.costs import threshold_grid
+    from tollgate.operators import thresholds as Th
+    from tollgate.sources.canonical import transactions
+
+    rows = transactions(spark, sf)
+    lines = [(r["threshold"], r["slope"], r["intercept"]) for r in Th.cost_lines(rows).collect()]
+    pieces = sorted(map(tuple, Th.price_envelope(rows).collect()))
+    assert pieces[0][0] == 0 and pieces[-1][1] is None and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    for price in (Decimal(k) / 7 for k in range(0, 3000, 13)):
+        least = min((c + s * price, t) for t, s, c in lines)
+        (piece,) = [p for p in pieces if p[0] <= price and (p[1] is None or price < p[1])]
+        at = {t: c + s * price for t, s, c in lines}[piece[2]]
+        assert abs(at - least[0]) < Decimal("1e-6")
+    r = Th.flip_price(rows).first()
+    half = Th.cost_lines(rows, thresholds=sorted({*threshold_grid(), 0.5})).where("threshold = 0.5").first()
+    base = next(x for x in lines if x[0] == r["baseline_threshold"])
+    if r["flip_price"] is not None:
+        for price, sign in ((r["flip_price"] * 0.99, 1), (r["flip_price"] * 1.01, -1)):
+            saving = float(half["intercept"] - base[2]) + price * (half["slope"] - base[1])
+            assert saving * sign >= 0

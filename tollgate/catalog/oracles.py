@@ -307,6 +307,24 @@ oracle("regret_noise_share", _regret(_PRICES), f"""SELECT 100.0::DOUBLE * count(
   min(optimal_threshold) AS threshold_low, max(optimal_threshold) AS threshold_high FROM ({_SURFACE})""",
        "pct_below_noise:m threshold_low:m threshold_high:m")
 
+oracle("regret_ranges", _regret(_PRICES), f"""SELECT min(optimal_threshold) AS threshold_low, max(optimal_threshold) AS threshold_high,
+  max(optimal_threshold) / min(optimal_threshold) AS spread, min(regret) AS regret_low, max(regret) AS regret_high FROM ({_SURFACE})""",
+       "threshold_low:m threshold_high:m spread:m regret_low:m regret_high:m")
+_LINES = "SELECT threshold, fp AS slope, CAST(amt_fn + 25 * fn + 0.025 * amt_fp + 2 * (tp + fp) AS DECIMAL(18,6)) AS intercept FROM"
+oracle("flip_price", SWEEP + ["half AS (SELECT 0.5::DOUBLE AS threshold)", f"h AS ({_LINES} ({_outcomes('half')}))",
+                              f"b AS (SELECT l.* FROM ({_LINES} swept) l JOIN best USING (threshold))"],
+       """SELECT b.threshold AS baseline_threshold, CASE WHEN h.intercept - b.intercept <= 0 THEN CASE WHEN b.slope >= h.slope THEN 0 END
+  WHEN b.slope > h.slope THEN CAST(h.intercept - b.intercept AS DOUBLE) / (b.slope - h.slope) END AS flip_price FROM b, h""",
+       "baseline_threshold:m flip_price:m")
+oracle("price_envelope", SWEEP + [
+    # The lowest threshold of equal lines, and for each line the prices from which and up to which no other line is cheaper.
+    f"lines AS MATERIALIZED (SELECT slope, intercept, min(threshold) AS threshold FROM ({_LINES} swept) GROUP BY 1, 2)",
+    """ends AS (SELECT a.*, greatest(0, coalesce(max(CAST(a.intercept - b.intercept AS DOUBLE) / (b.slope - a.slope)) FILTER (b.slope > a.slope), 0)) AS price_from,
+  min(CAST(b.intercept - a.intercept AS DOUBLE) / (a.slope - b.slope)) FILTER (b.slope < a.slope) AS price_to,
+  coalesce(bool_or(b.intercept < a.intercept) FILTER (b.slope = a.slope), false) AS above FROM lines a JOIN lines b ON true GROUP BY ALL)"""],
+       """SELECT price_from, price_to, threshold, CAST(intercept AS DOUBLE) + price_from * slope AS cost_from FROM ends
+  WHERE NOT above AND (price_to IS NULL OR price_from < price_to)""", "price_from:m price_to:m threshold:m cost_from:m")
+
 # ---- replay and accounts ---------------------------------------------------------------------------
 
 UNIFORM = "CAST(CAST('0x' || substr(md5({}), 1, 12) AS UBIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
@@ -627,8 +645,13 @@ NAIVE = """SELECT *, naive - att AS bias_vs_att, naive - ate AS bias_vs_ate, sig
   sum(t) AS n_treated, CAST(sum(tau) AS DOUBLE) / count(*) AS ate, CAST(sum(tau) FILTER (t = 1) AS DOUBLE) / count(*) FILTER (t = 1) AS att,
   CAST(sum(y_obs) FILTER (t = 1) AS DOUBLE) / count(*) FILTER (t = 1) - CAST(sum(y_obs) FILTER (t = 0) AS DOUBLE) / count(*) FILTER (t = 0)
   AS naive FROM rolled)"""
-oracle("ramp_assign", ACC + ramp("1.5"), "SELECT account_id, t FROM rolled", "account_id t:n")
-oracle("naive_att_ate", ACC + ramp("1.5"), NAIVE, "n:n n_treated:n ate:m att:m naive:m bias_vs_att:m bias_vs_ate:m sign_correct")
+def over_strengths(name: str, body: str, columns: str) -> None:
+    ORACLES[name] = " UNION ALL ".join(
+        f"SELECT {b}::DOUBLE AS beta, * FROM ({_result(ACC + ramp(repr(float(b))), body, columns)})" for b in BETAS)
+
+
+over_strengths("ramp_assign", "SELECT account_id, t FROM rolled", "account_id t:n")
+over_strengths("naive_att_ate", NAIVE, "n:n n_treated:n ate:m att:m naive:m bias_vs_att:m bias_vs_ate:m sign_correct")
 
 MATCH_STEPS = [
     "controls AS (SELECT logit, min(account_id) AS first_id, max(account_id) AS last_id FROM units WHERE t = 0 GROUP BY logit)",

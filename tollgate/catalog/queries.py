@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -476,6 +477,26 @@ def regret_noise_share(spark, d):
                                    F.max("optimal_threshold").alias("threshold_high"))
 
 
+@query
+def regret_ranges(spark, d):
+    """Ends and spread of the thresholds and regrets of the surface."""
+    low, high = F.min("optimal_threshold"), F.max("optimal_threshold")
+    return regret_2d(spark, d).agg(low.alias("threshold_low"), high.alias("threshold_high"), F.try_divide(high, low).alias("spread"),
+                                   F.min("regret").alias("regret_low"), F.max("regret").alias("regret_high"))
+
+
+@query
+def flip_price(spark, d):
+    """The price of a false decline at which the recommendation flips."""
+    return Th.flip_price(transactions(spark, d))
+
+
+@query
+def price_envelope(spark, d):
+    """The cheapest threshold at every price of a false decline."""
+    return Th.price_envelope(transactions(spark, d))
+
+
 def replay(spark, d) -> DataFrame:
     return X.with_policies(keyed(spark, d).where(F.col("txn_day") >= REPLAY_FROM))
 
@@ -771,8 +792,11 @@ def boot_cost_interval(spark, d):
 
 # ---- causal --------------------------------------------------------------------------------------
 
-def rolled_out(spark, d, beta: float = 1.5) -> DataFrame:
-    return M.settled(M.ramp_assignment(M.settled(M.with_z(accounts(spark, d))), beta))
+def over_strengths(spark, d, job) -> DataFrame:
+    """`job` on the rollout of every strength, one below the other."""
+    frame = M.settled(M.with_z(accounts(spark, d)))
+    return reduce(DataFrame.unionByName, [
+        job(M.settled(M.ramp_assignment(frame, b))).withColumn("beta", F.lit(float(b))) for b in M.BETAS])
 
 
 def on_risk(spark, d) -> DataFrame:
@@ -784,13 +808,14 @@ def on_risk(spark, d) -> DataFrame:
 
 @query
 def ramp_assign(spark, d):
-    """Treatment steered by account risk."""
-    return rolled_out(spark, d).select("account_id", "t")
+    """Treatment steered by account risk, at every strength."""
+    return over_strengths(spark, d, lambda rolled: rolled.select("account_id", "t"))
 
 
 @query
 def naive_att_ate(spark, d):
-    return M.effect_summary(rolled_out(spark, d))
+    """True effects and the naive difference, at every strength."""
+    return over_strengths(spark, d, M.effect_summary)
 
 
 @query

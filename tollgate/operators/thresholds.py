@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -154,6 +155,50 @@ def regret(df: DataFrame, false_decline_costs: Sequence[Decimal], costs: CostMod
                       (F.col("at_half") - F.col("at_baseline")).alias("saving_vs_half"))
 
 
+def cost_lines(df: DataFrame, costs: CostModel = DEFAULT_COSTS, thresholds: Sequence[float] | None = None, **columns: str) -> DataFrame:
+    """Every threshold's cost as a line over the price of a false decline: threshold, slope (false declines), intercept."""
+    free = policy_cost(costs, F.lit(0).cast("decimal(18,6)"))
+    return outcomes(df, thresholds, **columns).select("threshold", F.col("fp").alias("slope"), free.alias("intercept"))
+
+
+def flip_price(df: DataFrame, costs: CostModel = DEFAULT_COSTS, **columns: str) -> DataFrame:
+    """The exact price of a false decline from which the baseline threshold no longer beats the naive one.
+
+    Null where it does at every price; 0 where it never does.
+    """
+    grid = threshold_grid()
+    lines = pinned(cost_lines(df, costs, sorted({*grid, NAIVE}), **columns))
+    swept = F.lit(True) if NAIVE in grid else F.col("threshold") != NAIVE
+    stated = F.col("intercept") + F.col("slope") * money(costs.false_decline)
+    baseline = lines.where(swept).agg(F.min(F.struct(stated, "threshold")).alias("b")).select("b.threshold").first()["threshold"]
+    pair = lines.agg(*[F.max(F.when(F.col("threshold") == F.lit(t), F.col(c))).alias(f"{name}_{c}")
+                       for t, name in ((baseline, "base"), (NAIVE, "half")) for c in ("slope", "intercept")])
+    ahead = (F.col("half_intercept") - F.col("base_intercept")).cast("double")
+    steeper = F.col("base_slope") - F.col("half_slope")
+    price = F.when(ahead <= 0, F.when(steeper >= 0, 0.0)).when(steeper > 0, ahead / steeper)
+    return pair.select(F.lit(baseline).alias("baseline_threshold"), price.alias("flip_price"))
+
+
+def price_envelope(df: DataFrame, costs: CostModel = DEFAULT_COSTS, **columns: str) -> DataFrame:
+    """The cheapest threshold at every price of a false decline: pieces (price_from, price_to, threshold, cost_from).
+
+    The lower envelope of the cost lines, walked from price 0 on. The lines come to the driver, at most one for each threshold
+    of the grid. Equal lines and equal costs go to the lowest threshold; the last piece has no end.
+    """
+    lines = [(r["slope"], r["intercept"], r["threshold"]) for r in cost_lines(df, costs, **columns).collect()]
+    slope, cost, threshold = min(lines, key=lambda x: (x[1], x[0], x[2]))
+    start, pieces = Fraction(0), []
+    while True:
+        # The next line to fall below the present one, and of those that meet it there the flattest.
+        later = [(Fraction(c - cost) / (slope - s), s, t, c) for s, c, t in lines if s < slope]
+        price, s, t, c = min(later, default=(None, slope, threshold, cost))
+        pieces.append((float(start), None if price is None else float(price), threshold, float(Fraction(cost) + start * slope)))
+        if price is None:
+            break
+        start, slope, threshold, cost = price, s, t, c
+    return df.sparkSession.createDataFrame(pieces, "price_from double, price_to double, threshold double, cost_from double")
+
+
 def targeted(rows: DataFrame, accounts: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
     """Challenger policy only for accounts at or above a risk cut-off, champion below.
 

@@ -87,3 +87,9 @@ def scenario_table(accounts: DataFrame, rows: DataFrame, betas: Sequence[float]
             if run["estimate"] is not None:
                 out.append(line(name, run["estimate"], run))
     return accounts.sparkSession.createDataFrame(out, SCHEMA)
+
+
+def bias_summary(table: DataFrame) -> DataFrame:
+    """`scenario_table` pivoted: one row per strength, the bias of each estimator against the effect on the treated."""
+    names = {"naive difference": "naive", "matched, observed": "observed", "matched, oracle": "oracle"}
+    return table.groupBy("beta").pivot("estimator", list(names)).agg(F.first("bias_vs_att")).withColumnsRenamed(names)
