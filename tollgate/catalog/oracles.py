@@ -731,6 +731,26 @@ oracle("isotonic_scores", TXN + [
     "placed AS (SELECT b.*, f.x AS x1, f.r AS r1 FROM below b ASOF LEFT JOIN fit f ON b.score <= f.x)"],
        """SELECT transaction_id, score, CASE WHEN x0 IS NULL THEN r1 WHEN x1 IS NULL OR x1 = x0 THEN r0
   ELSE r0 + (r1 - r0) * (score - x0) / (x1 - x0) END AS calibrated FROM placed""", "transaction_id:n score:m calibrated:m")
+def _crossed(half: str) -> list[str]:
+    """Scores of one hash half through the isotonic map of the other."""
+    n = half[-1]
+    return [f"cal{n} AS (SELECT score AS x, sum(is_fraud) AS s, count(*) AS n FROM halves WHERE {'NOT ' if half == 'h1' else ''}first_half GROUP BY 1)",
+            f"cum{n} AS (SELECT x, s, n, sum(s) OVER (ORDER BY x) AS st, sum(n) OVER (ORDER BY x) AS nt FROM cal{n})",
+            f"spans{n} AS (SELECT a.x AS lo, b.x AS hi, CAST(b.st - a.st + a.s AS DOUBLE) / (b.nt - a.nt + a.n) AS rate FROM cum{n} a JOIN cum{n} b ON a.x <= b.x)",
+            f"lows{n} AS (SELECT hi, min(rate) OVER (PARTITION BY lo ORDER BY hi DESC) AS m FROM spans{n})",
+            f"fit{n} AS (SELECT hi AS x, max(m) AS r FROM lows{n} GROUP BY 1)",
+            f"below{n} AS (SELECT t.*, f.x AS x0, f.r AS r0 FROM (SELECT * FROM halves WHERE {'' if half == 'h1' else 'NOT '}first_half) t "
+            f"ASOF LEFT JOIN fit{n} f ON t.score >= f.x)",
+            f"placed{n} AS (SELECT b.*, f.x AS x1, f.r AS r1 FROM below{n} b ASOF LEFT JOIN fit{n} f ON b.score <= f.x)"]
+
+
+_THROUGH = """SELECT is_fraud, transaction_amt, CASE WHEN x0 IS NULL THEN r1 WHEN x1 IS NULL OR x1 = x0 THEN r0
+  ELSE r0 + (r1 - r0) * (score - x0) / (x1 - x0) END AS score FROM"""
+oracle("crossfit_threshold", TXN + [
+    f"halves AS (SELECT *, {UNIFORM.format("'crossfit:' || transaction_id")} < 0.5::DOUBLE AS first_half FROM txn WHERE txn_day >= 21 AND txn_day < 24)",
+    *_crossed("h1"), *_crossed("h2"), f"crossed AS MATERIALIZED ({_THROUGH} placed1 UNION ALL {_THROUGH} placed2)"],
+       f"""WITH txn AS (SELECT * FROM crossed), {GRID} SELECT threshold FROM (SELECT *, {COST} AS cost FROM ({_outcomes('grid')}))
+  ORDER BY cost, threshold LIMIT 1""", "threshold:m")
 oracle("ranked_share", TXN, """SELECT *, pct > 30 AS dominates FROM (SELECT txn_day, amount, 100.0::DOUBLE * CAST(amount AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE)
   AS pct, 100.0::DOUBLE * CAST(sum(amount) OVER (ORDER BY amount DESC, txn_day ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE) AS cum_pct
   FROM (SELECT txn_day, sum(transaction_amt) AS amount FROM txn GROUP BY 1)) ORDER BY amount DESC, txn_day LIMIT 10""",
