@@ -216,3 +216,24 @@ def test_quality_of_every_prefix_equals_brute_force(spark):
             tp, fp, new = tp + bad[step == x].sum(), fp + (1 - bad[step == x]).sum(), bad[step == x].sum()
             value += new / bad.sum() * tp / (tp + fp)
         assert got[k] == pytest.approx(value, rel=1e-9)
+
+
+def test_a_fit_with_the_same_fingerprint_is_read_from_the_store(spark, sf, monkeypatch, tmp_path):
+    from tollgate.session import pinned
+
+    fits = []
+    honest = W.fit_boosted
+    monkeypatch.setattr(W, "fit_boosted", lambda *a: fits.append(1) or honest(*a))
+    df = pinned(C.model_rows(spark, sf).drop("segment"))
+    small = Tr.Boosting(rounds=2, depth=2, min_leaf_rows=10, bins=16)
+    windows, features = W.fold_windows(24, 3), Tr.features_of(df)
+    first = W.evaluate(df, features, windows, small, str(tmp_path))
+    again = W.evaluate(df, features, windows, small, str(tmp_path))
+    assert len(fits) == 1
+    same = {k: v for k, v in first.numbers.items() if k != "fit_secs"}
+    assert same == {k: v for k, v in again.numbers.items() if k != "fit_secs"}
+    assert first.scored.exceptAll(again.scored).isEmpty()
+    for other in (dict(windows=W.fold_windows(21, 3)), dict(settings=Tr.Boosting(rounds=2, depth=3, min_leaf_rows=10, bins=16)),
+                  dict(df=df.where("transaction_id <> 5")), dict(features=Tr.Features(features.names[1:], features.text))):
+        W.fitted(**{"df": df, "features": features, "windows": windows, "settings": small, "store": str(tmp_path), **other})
+    assert len(fits) == 5

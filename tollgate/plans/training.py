@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,14 @@ def text_coded(df: DataFrame, features: Features) -> tuple[DataFrame, Features]:
     return df, Features(features.names)
 
 
+def fingerprint(df: DataFrame, features: Features, conditions: Sequence[Column], settings: Boosting) -> str:
+    """Name of a fit: its rows (count and a sum of row hashes), inputs, settings and the conditions of its windows."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    rows = df.agg(F.count("*"), F.sum(row).cast("string")).first()
+    named = [list(rows), df.dtypes, list(features.names), asdict(settings), [str(c) for c in conditions]]
+    return hashlib.sha256(json.dumps(named).encode()).hexdigest()[:32]
+
+
 def leaf_outputs(model: GBTClassificationModel) -> np.ndarray:
     """Weighted output of every leaf, one line per tree; leaves are numbered from left to right, as in ``leafCol``."""
     trees = [[float(x) for x in re.findall(r"Predict: (\S+)", text)] for text in re.split(r"\n  Tree \d+ ", model.toDebugString)[1:]]

@@ -35,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="tollgate-")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tollgate-"))  # one folder for the whole session
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -56,3 +57,11 @@ def pinned(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def score_store(spark: SparkSession) -> str:
+    """Folder of fitted models and scores that later jobs of this session read again; it goes when the session ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/scores-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return path
