@@ -2,7 +2,8 @@
 
 A page becomes a tree of its block elements; inline elements stay in the text of their block and count as tags. Elements that
 say themselves that they are not the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments;
-by element, role, class or id) are left out first. Every node then gets its characters per tag, adjusted for links:
+by element, role, or a whole class or id) are left out first. Where such a word is only a part of a class or id (`has-sidebar`), a block
+element goes only if it holds no more than half of the text outside links. Every node then gets its characters per tag, adjusted for links:
 
     D = C/T * log_b(C/LC * T/LT),   b = ln(C*LC/(C-LC) + C*LC_body/C_body + e)
 
@@ -53,22 +54,30 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 BOUNDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 
 
-def unwanted(name: str, attributes: str) -> bool:
+NO, MAYBE, YES = range(3)
+
+
+def unwanted(name: str, attributes: str) -> int:
+    """Whether an element is no part of the article; MAYBE if a label is only a part of a class or id."""
     if name in NOT_ARTICLE:
-        return True
+        return YES
     if not attributes or name in CORE:
-        return False
+        return NO
+    found = NO
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return YES
         if key == "style" and UNSEEN.search(value):
-            return True
+            return YES
         if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(x.lower() in LABELS for x in PARTS.findall(value)):
-            return True
-    return False
+            return YES
+        if key in ("class", "id"):
+            if any(x in LABELS for x in value.lower().split()):
+                return YES
+            if any(x.lower() in LABELS for x in PARTS.findall(value)):
+                found = MAYBE
+    return found
 
 
 class Page:
@@ -77,6 +86,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tags, self.links, self.chars, self.link_chars = [-1], [0], [0], [0], [0]
         self.blocks: list[tuple[int, str, int, int, int]] = []  # node, text, tags, link characters, link tags
+        self.doubtful: list[int] = []  # nodes that a part of a class or id calls no article
         self.all_chars = self.all_link_chars = 0  # of the page with its menus
         self.open: list[tuple[str, int, bool, bool]] = [("body", 0, False, False)]  # name, node, unwanted, in a link
         self.pieces: list[str] = []
@@ -128,7 +138,8 @@ class Page:
                     if name != "tr" and not name.startswith("t"):
                         break
         _, node, hidden, link = self.open[-1]
-        hidden = hidden or unwanted(name, attributes)
+        found = NO if hidden else unwanted(name, attributes)
+        hidden = hidden or found == YES or found == MAYBE and name in INLINE
         if name in INLINE:
             if not hidden:
                 self.block_tags += 1
@@ -143,6 +154,8 @@ class Page:
                 for column in (self.tags, self.links, self.chars, self.link_chars):
                     column.append(0)
                 node = len(self.parent) - 1
+                if found == MAYBE:
+                    self.doubtful.append(node)
         if name not in VOID:
             self.open.append((name, node, hidden, link or name == "a"))
 
@@ -170,7 +183,7 @@ class Page:
             elif follow in ("!", "?"):
                 end = source.find(">", tag)
                 at = size if end < 0 else end + 1
-            elif follow.isalpha() or follow == "/":
+            elif follow.isascii() and follow.isalpha() or follow == "/":
                 if source.find(">", tag) < 0:
                     return
                 found = TAG.match(source, tag)
@@ -193,6 +206,21 @@ class Page:
                 at = tag + 1
 
 
+    def drop_doubtful(self) -> None:
+        """Take out the doubtful elements that hold at most half of the text outside links."""
+        plain = [c - l for c, l in zip(self.chars, self.link_chars)]
+        for node in range(len(plain) - 1, 0, -1):
+            plain[self.parent[node]] += plain[node]
+        gone = {node for node in self.doubtful if 2 * plain[node] <= plain[0]}
+        for node in gone:
+            self.tags[self.parent[node]] -= 1
+        for node in range(1, len(plain)):  # children have larger numbers than their parent
+            if node in gone or self.parent[node] in gone:
+                gone.add(node)
+                self.tags[node] = self.links[node] = self.chars[node] = self.link_chars[node] = 0
+        self.blocks = [block for block in self.blocks if block[0] not in gone]
+
+
 def density(chars: int, tags: int, link_chars: int, links: int, body_ratio: float) -> float:
     if not chars:
         return 0.0
@@ -205,6 +233,8 @@ def density(chars: int, tags: int, link_chars: int, links: int, body_ratio: floa
 
 def main_blocks(source: str) -> list[str]:
     page = Page(source)
+    if page.doubtful:
+        page.drop_doubtful()
     if not page.blocks:
         return []
     count, ratio = len(page.parent), page.all_link_chars / max(page.all_chars, 1)
