@@ -65,7 +65,11 @@ LINKS = "".join(f'<li><a href="/{i}">Menu {i}</a></li>' for i in range(9))
     ("<script>var a='<p>no</p>';</script><style>p{}</style><!-- <p>x</p> --><p>Only this</p><form><p>Send</p></form>", "Only this"),
     ("<p>cut &lt;b&gt; <a href='x>y'>inside</a> a ta", "cut <b> inside a ta"), ("<p>cut <a hre", "cut"), ("", ""), ("<div></div>", ""),
     ("plain 1 < 2 text", "plain 1 < 2 text"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
-    ("</p></div><p>stray</b> ends</p></article>", "stray ends")])
+    ("</p></div><p>stray</b> ends</p></article>", "stray ends"),
+    (f"<div class='has-sidebar'><div class=sidebar>{LINKS}</div><p>The article itself</p></div>", "The article itself"),
+    (f"<div id='page-header-article'><p>The article itself</p></div><div class='site-footer'>{LINKS}<p>me</p></div>", "The article itself"),
+    ("<div class='social-science'><p>The article itself</p></div>", "The article itself"),
+    ("<p>x <α y > z</p>", "x <α y > z"), ("<div class='post-comments'><p>a</p></div><p>The article itself</p>", "The article itself")])
 def test_main_text(body, expected):
     assert "\n\n".join(extraction.main_blocks(f"<html><head><title>t</title></head><body>{body}</body></html>"
                                               if not body.endswith(("ta", "hre")) else body)) == expected
@@ -80,6 +84,91 @@ def test_extraction_of_the_pages(spark, sf):
     assert [r.text for r in extraction.extract(odd).orderBy("page_id").collect()] == ["", "a", "a"]
 
 
+def slow_main_blocks(page):
+    """Composite text density by recursion over a tree of nested lists: ["div", child, ...] with texts, links and blocks."""
+    def text_runs(node):  # (text, tags, link characters, link tags) between the blocks of a node, and its child blocks, in order
+        runs, held = [], []
+        for child in [*node[1:], ["div"]]:
+            if isinstance(child, str) or child[0] == "a":
+                held.append(child)
+                continue
+            text = " ".join("".join(x if isinstance(x, str) else x[1] for x in held).split())
+            links = [x for x in held if not isinstance(x, str)]
+            linked = sum(len(x[1].strip()) for x in links)
+            runs.append((text, len(links), min(len(text), linked), len(links)))
+            runs.append(child)
+            held = []
+        return runs[:-1]
+
+    def numbers(node):  # characters, tags, link characters, link tags below
+        out = [0, 0, 0, 0]
+        for x in text_runs(node):
+            more = [len(x[0]), *x[1:]] if isinstance(x, tuple) else [y + (i == 1) for i, y in enumerate(numbers(x))]
+            out = [a + b for a, b in zip(out, more)]
+        return out
+
+    whole = numbers(page)
+    ratio = whole[2] / max(whole[0], 1)
+
+    def dense(c, t, lc, lt):
+        if not c:
+            return 0.0
+        base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)
+        return c / max(t, 1) * (1 if base <= 1 + 1e-12 else max(0.0, math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(base)))
+
+    def walk(node, path):
+        yield node, path
+        for x in node[1:]:
+            if not isinstance(x, str) and x[0] != "a":
+                yield from walk(x, [*path, node])
+
+    nodes = list(walk(page, []))
+    total = {id(n): sum(dense(len(x[0]), max(x[1], 1), x[2], x[3]) if isinstance(x, tuple) else dense(*numbers(x)) for x in text_runs(n)) for n, _ in nodes}
+    value = {id(n): dense(*numbers(n)) for n, _ in nodes}
+
+    def best(node):
+        return max((n for n, _ in walk(node, [])), key=lambda n: total[id(n)])  # the first of equals
+
+    core = best(page)
+    path = next(p for n, p in nodes if n is core)
+    threshold = min(value[id(n)] for n in [*path, core])
+    marked = [id(best(n)) for n, _ in nodes if value[id(n)] >= threshold]
+
+    def kept(node, inside):
+        inside = inside or id(node) in marked
+        for x in text_runs(node):
+            if isinstance(x, tuple):
+                if inside and x[0]:
+                    yield x[0]
+            else:
+                yield from kept(x, inside)
+
+    return list(kept(page, False))
+
+
+def test_text_density_equals_recursion_on_random_pages():
+    rng = random.Random(6)
+
+    def node(depth):
+        out = [rng.choice(["div", "section"])]
+        for _ in range(rng.randint(0, 5)):
+            kind = rng.random()
+            if kind < 0.45 and depth < 5:
+                out.append(node(depth + 1))
+            elif kind < 0.6:
+                out.append(["a", "link " * rng.randint(1, 4)])
+            else:
+                out.append(" word" * rng.randint(1, 40))
+        return out
+
+    def written(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(written, x[1:]))}</{x[0]}>"
+
+    for _ in range(300):
+        page = node(0)
+        assert extraction.main_blocks("".join(map(written, page[1:]))) == slow_main_blocks(page)
+
+
 # ---- quality rules -----------------------------------------------------------------------------------
 
 def slow_measure(text):
@@ -125,6 +214,35 @@ def test_cutoffs_need_evidence_in_their_stratum(spark):
     assert all(kept[i] for i in range(6000, 6050))  # 40 good labels prove nothing
 
 
+def test_cutoffs_equal_a_plain_search_and_repeated_rows_are_no_evidence(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + "#" * (rng.random() < 0.02 * (i % 7)) for _ in range(25)]),
+             "xx" if i % 3 else None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 < 5).cast("int").alias("quality"))
+    stats = rules.measured(docs)
+    names = ["stratum", *[f"{n}_cut" for n, _, _ in rules.GRID]]
+    got = sorted(tuple(r[n] for n in names) for r in rules.select_cutoffs(stats, labels).collect())
+    again = stats.unionByName(stats).unionByName(stats.where("doc_id % 5 = 0"))
+    assert sorted(tuple(r[n] for n in names) for r in rules.select_cutoffs(again, labels).collect()) == got
+    values = [r for r in stats.collect() if r.doc_id % 7 < 5 and not r.base_failed]
+    expected = []
+    for lang in ("", "xx"):
+        good, cuts = [r for r in values if (r.lang or "") == lang], []
+        for name, low, high in rules.GRID:
+            passed = None
+            for i in range(rules.STEPS - 1, -1, -1):
+                cutoff = round(low + (high - low) * i / (rules.STEPS - 1), 6)
+                k, n, p = sum(r[name] >= cutoff for r in good), len(good), 0.02 / 4
+                if sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p))
+                       for j in range(k + 1)) > 0.05 / 8:
+                    break
+                passed = cutoff
+            cuts.append(passed)
+        expected.append((lang, *cuts))
+    assert got == expected and any(x is not None for x in got[1][1:])
+
+
 # ---- leaks -------------------------------------------------------------------------------------------
 
 def slow_distance(item, text):

@@ -1,14 +1,19 @@
 """Quality rules whose cutoffs carry a guarantee.
 
 Every rule compares one statistic of a text with a cutoff. For each stratum (language) and rule a fixed grid of cutoffs is
-tested on labelled rows: the null hypothesis "this cutoff rejects more than a share `risk` of the good documents" is dropped
-only if the exact binomial tail of the observed false rejections is below `delta` divided by the number of all tests of all
-strata (Bonferroni). Among the cutoffs that pass, the one that rejects most is used; where none passes, the rule stays silent
-in that stratum. With probability 1 - delta no rule then rejects more than its share of good documents in any stratum.
-
-Null texts have no words. A null language is a stratum of its own. Null labels are ignored, repeated labels of one document
-count once (good only if all say so). Rows are never joined by text, so repeated rows, ties and extra columns do no harm;
-empty tables give empty results.
+tested on labelled documents, from the cutoff that rejects least down to the one that rejects most: the null hypothesis "this cutoff
+rejects more than a share `risk` of the good documents" is dropped if the exact binomial tail of the observed false rejections
+is at most `delta` divided by the number of sequences, one for each rule and stratum (Bonferroni). A sequence ends at the first
+hypothesis that stands (fixed-sequence testing needs no correction inside it), and the last cutoff that passed is used; where none
+passes, the rule stays silent in that stratum. With probability 1 - delta no rule then rejects more than its share of good documents
+in any stratum.
+
+A document is one piece of evidence however often its row is repeated: rows of one doc_id count once, as rejected if one of
+them is. Documents with equal texts under different numbers count as drawn one by one, as a labelled sample of a corpus with copies is.
+
+Null texts have no words. A null language is a stratum of its own; a document in several languages counts in the first of them. Null
+labels are ignored, repeated labels of one document count once (good only if all say so). Ties and extra columns do no harm; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -125,8 +130,11 @@ def tested(counts: DataFrame, risk: float, delta: float) -> DataFrame:
             for row in frame.itertuples(index=False):
                 record = {"stratum": row.stratum, "n_good": row.n_good}
                 for name, low, high in GRID:
-                    record[name + "_cut"] = next((c for i, c in enumerate(cutoffs(low, high)) if binomial_tail(
-                        int(getattr(row, f"{name}_{i}")), int(row.n_good), share) <= delta / row.n_tests), None)
+                    record[name + "_cut"] = None
+                    for i, cutoff in reversed(list(enumerate(cutoffs(low, high)))):
+                        if binomial_tail(int(getattr(row, f"{name}_{i}")), int(row.n_good), share) > delta / row.n_tests:
+                            break
+                        record[name + "_cut"] = cutoff
                 out.append(record)
             yield pd.DataFrame(out, columns=["stratum", "n_good", *[f"{n}_cut" for n in names]])
 
@@ -139,9 +147,10 @@ def select_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, delt
             .agg(F.min(F.col("quality").cast("int")).alias("good")).where("good = 1"))
     rejections = [F.count(F.when(F.col(name) >= c, 1)).alias(f"{name}_{i}")
                   for name, low, high in GRID for i, c in enumerate(cutoffs(low, high))]
-    counts = (stats.where("not base_failed").join(good, "doc_id").groupBy(stratum(F.col("lang")).alias("stratum"))
-              .agg(F.count(F.lit(1)).alias("n_good"), *rejections))
-    tests = counts.agg((F.count(F.lit(1)) * (len(GRID) * STEPS)).alias("n_tests"))
+    votes = stats.where("not base_failed").groupBy("doc_id").agg(
+        F.min(stratum(F.col("lang"))).alias("stratum"), *[F.max(name).alias(name) for name, _, _ in GRID])
+    counts = votes.join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *rejections)
+    tests = counts.agg((F.count(F.lit(1)) * len(GRID)).alias("n_tests"))
     return tested(counts.withColumn("n_tests", tests.scalar()), risk, delta)
 
 
