@@ -148,10 +148,20 @@ oracle("fact_wide", FEAT + [IDENTITY], """SELECT f.*, ln(CAST(transaction_amt AS
        "transaction_id:n transaction_dt:n txn_day:n transaction_amt:m is_fraud:n product_cd card1:n addr1:m d1:m account_id "
        f"account_key_tier is_degraded_key {LOOK} log_amount:m txn_hour:n txn_dow:n d1_norm:m has_identity device_type id_01:m")
 
+oracle("mart_features", FEAT, "SELECT * FROM feat", f"transaction_id:n account_id transaction_dt:n {LOOK}")
+BLOCK = range(1, 351)
+oracle("fact_block", FEAT + ["block AS (SELECT l_orderkey AS transaction_id, " + ", ".join(
+    f"sum(l_quantity) FILTER (slot = {i}) AS v{i}" for i in BLOCK)
+    + " FROM (SELECT *, (l_linenumber - 1) * 50 + l_suppkey % 50 + 1 AS slot FROM lineitem) GROUP BY 1)"],
+       "SELECT f.*, block.* EXCLUDE (transaction_id) FROM feat f LEFT JOIN block ON block.transaction_id = f.transaction_id",
+       f"transaction_id:n account_id transaction_dt:n transaction_amt:m {LOOK} " + " ".join(f"v{i}:m" for i in BLOCK))
+
 # ---- marts and profiles --------------------------------------------------------------------------
 
 oracle("dim_accounts", DIM, "SELECT * FROM dim", "account_id account_key_tier is_degraded_key first_seen_day:n last_seen_day:n "
        "active_day_span:n txn_count:n total_amount:m mean_amount:m fraud_count:n fraud_rate:m")
+oracle("mart_accounts", DIM, "SELECT * FROM dim", "account_id account_key_tier is_degraded_key first_seen_day:n last_seen_day:n "
+       "active_day_span:n txn_count:n total_amount:m mean_amount:m fraud_count:n fraud_rate:m")
 oracle("dim_weighted", DIM, """SELECT median(txn_count) AS txn_weighted_median, CAST(sum(txn_count) AS DOUBLE) / count(*) AS txn_weighted_mean,
   100.0::DOUBLE * count(*) FILTER (txn_count > 1) / count(*) AS pct_txns_in_multi FROM keyed JOIN dim USING (account_id)""",
        "txn_weighted_median:m txn_weighted_mean:m pct_txns_in_multi:m")

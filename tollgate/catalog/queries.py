@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
@@ -25,6 +26,7 @@ from tollgate.operators import quality as D
 from tollgate.operators import thresholds as Th
 from tollgate.operators import velocity as V
 from tollgate.plans import evaluation as Ev
+from tollgate.plans import layout as L
 from tollgate.plans import marts
 from tollgate.session import pinned, scratch
 from tollgate.sources import tables as Tb
@@ -236,6 +238,37 @@ def dim_accounts(spark, d):
     return P.account_dimension(keyed(spark, d))
 
 
+def account_mart(spark, d) -> DataFrame:
+    """Keyed rows stored in buckets of the account, in time order."""
+    return L.bucketed(keyed(spark, d), f"mart_{uuid.uuid4().hex}", scratch(spark), "account_id", ["transaction_dt"])
+
+
+@query
+def mart_accounts(spark, d):
+    """The account dimension read from the bucketed mart, without an exchange."""
+    return P.account_dimension(account_mart(spark, d))
+
+
+@query
+def mart_features(spark, d):
+    """The look-back block read from the bucketed mart, without an exchange."""
+    return V.velocity(account_mart(spark, d)).select("transaction_id", "account_id", "transaction_dt", *V.feature_names())
+
+
+BLOCK_LINES, BLOCK_SUPPLIERS = 7, 50
+
+
+@query
+def fact_block(spark, d):
+    """Look-back features beside a passthrough block of 350 columns that no shuffle of the window carries."""
+    slot = (F.col("l_linenumber") - 1) * BLOCK_SUPPLIERS + F.col("l_suppkey") % BLOCK_SUPPLIERS + 1
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("transaction_id"), slot.alias("slot"), "l_quantity")
+    block = L.pivoted_block(lines, "transaction_id", F.col("slot"), "l_quantity", BLOCK_LINES * BLOCK_SUPPLIERS)
+    rows = keyed(spark, d).select("transaction_id", "account_id", "transaction_dt", "transaction_amt")
+    wide = L.bucketed(rows.join(block, "transaction_id", "left"), f"wide_{uuid.uuid4().hex}", scratch(spark), "transaction_id")
+    return L.with_late_features(wide)
+
+
 @query
 def dim_weighted(spark, d):
     """Size of the account a typical row sits in."""
