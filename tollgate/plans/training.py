@@ -159,7 +159,7 @@ def fit_boosted(df: DataFrame, features: Features, train: Column, early_stop: Co
             seed=settings.seed, featureSubsetStrategy=settings.feature_share, checkpointInterval=50).fit(fitted)
 
     try:
-        grown = min(settings.rounds, settings.patience + settings.patience // 4)
+        grown = min(settings.rounds, 2 * settings.patience)
         while True:
             trees = grow(grown)
             best = best_prefix(prefix_quality(trees, watched, label), grown)
