@@ -333,7 +333,7 @@ oracle("price_envelope", SWEEP + [
   min(CAST(b.intercept - a.intercept AS DOUBLE) / (a.slope - b.slope)) FILTER (b.slope < a.slope) AS price_to,
   coalesce(bool_or(b.intercept < a.intercept) FILTER (b.slope = a.slope), false) AS above FROM lines a JOIN lines b ON true GROUP BY ALL)"""],
        """SELECT price_from, price_to, threshold, CAST(intercept AS DOUBLE) + price_from * slope AS cost_from FROM ends
-  WHERE NOT above AND (price_to IS NULL OR price_from < price_to)""", "price_from:m price_to:m threshold:m cost_from:m")
+  WHERE NOT above AND (price_to IS NULL OR price_from + 1e-9::DOUBLE < price_to)""", "price_from:m price_to:m threshold:m cost_from:m")
 
 # ---- replay and accounts ---------------------------------------------------------------------------
 

@@ -192,7 +192,7 @@ def price_envelope(df: DataFrame, costs: CostModel = DEFAULT_COSTS, **columns: s
         # The next line to fall below the present one, and of those that meet it there the flattest.
         later = [(Fraction(c - cost) / (slope - s), s, t, c) for s, c, t in lines if s < slope]
         price, s, t, c = min(later, default=(None, slope, threshold, cost))
-        pieces.append((float(start), None if price is None else float(price), threshold, float(Fraction(cost) + start * slope)))
+        pieces.append((float(start), None if price is None else float(price), threshold, float(cost) + float(start) * slope))
         if price is None:
             break
         start, slope, threshold, cost = price, s, t, c
