@@ -7,10 +7,15 @@ per (range, group) pair, so it is bounded by the partition count plus the number
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.session import pinned
 
@@ -27,31 +32,81 @@ def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return pinned(spread.withColumn(RANGE_ID, F.spark_partition_id()))
 
 
+def _borders(batch: pa.RecordBatch, group: Sequence[int], last: list | None) -> list[int]:
+    """Positions at which a new group begins; ``last`` is the group of the row before the batch. Nulls are one group."""
+    fresh = np.zeros(batch.num_rows, bool)
+    fresh[0] = [batch.column(g)[0].as_py() for g in group] != last
+    for g in group:
+        column = batch.column(g)
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        unequal = pc.fill_null(pc.not_equal(a, b), False)  # null beside a value: the next line
+        lone = pc.not_equal(pc.is_null(a), pc.is_null(b))
+        fresh[1:] |= pc.or_(unequal, lone).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(fresh).tolist()
+
+
+def _before(values: np.ndarray, borders: Sequence[int], carry: object, zero: object) -> tuple[np.ndarray, object]:
+    """Sums of the earlier rows of the same group, and the sum with which the next batch begins."""
+    out = np.empty_like(values)
+    for a, b in zip([0, *borders], [*borders, len(values)]):
+        if a < b:
+            sums = np.cumsum(np.concatenate((np.array([carry], values.dtype), values[a:b])))
+            out[a:b], carry = sums[:-1], sums[-1]
+        if b < len(values):
+            carry = zero
+    return out, carry
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column],
                    group: Sequence[str] = ()) -> DataFrame:
     """Sum each of ``totals`` over all rows strictly before the current one.
 
     Adds, per output name, that sum and, as ``<name>_all``, the sum over the whole group.
     ``order`` must be unique within a group; ``totals`` values must not be null.
+
+    The rows are exchanged once, by range. Each range is sorted and summed in the same stage, as a stream that holds one
+    batch; the totals of the earlier ranges are added from a table of one row per range and group.
     """
     group = list(group)
-    ranged = _ranged(df, [*[F.col(g) for g in group], *order])
+    kinds = df.select(*[F.sum(col).alias(name) for name, col in totals.items()]).schema
+    ranged = df.withColumns({f"__l_{name}": col.cast(kinds[name].dataType) for name, col in totals.items()})
+    by = [*[F.col(g) for g in group], *order]
+    ranged = ranged.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(RANGE_ID, F.spark_partition_id())
+    names = ranged.columns
+    keys, sums = [names.index(g) for g in group], [names.index(f"__l_{name}") for name in totals]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, [0] * len(sums)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = list(batch.columns)
+            borders = _borders(batch, keys, last)
+            for i, place in enumerate(sums):
+                kind = columns[place].type
+                exact = pa.types.is_decimal(kind)  # Arrow has no running sum of decimals
+                values = np.array(columns[place].to_pylist(), object) if exact else columns[place].to_numpy(zero_copy_only=False)
+                zero = Decimal(0) if exact else values.dtype.type(0)
+                earlier, carry[i] = _before(values, borders, carry[i] + zero, zero)
+                columns.append(pa.array(earlier, kind))
+            last = [batch.column(g)[batch.num_rows - 1].as_py() for g in keys]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *made])
+
+    made = [f"__s_{name}" for name in totals]
+    schema = T.StructType([*ranged.schema.fields, *[T.StructField(f"__s_{name}", kinds[name].dataType) for name in totals]])
+    summed = pinned(ranged.mapInArrow(local, schema))
 
     # One row per (range, group).
-    part = ranged.groupBy(*group, RANGE_ID).agg(
-        *[F.sum(col).alias(f"__t_{name}") for name, col in totals.items()])
+    part = summed.groupBy(*group, RANGE_ID).agg(*[F.sum(f"__l_{name}").alias(f"__t_{name}") for name in totals])
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy(RANGE_ID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.select(*group, RANGE_ID, *[
         F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}")
         for name in totals], *[F.sum(f"__t_{name}").over(whole).alias(f"{name}_all") for name in totals])
-
-    local = Window.partitionBy(RANGE_ID, *group).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    summed = ranged.withColumns({
-        f"__l_{name}": F.coalesce(F.sum(col).over(local), F.lit(0)) for name, col in totals.items()})
+    if not group:
+        offsets = F.broadcast(offsets)  # no more rows than ranges
     return summed.join(offsets, [*group, RANGE_ID]).select(*df.columns, *[
-        (F.col(f"__l_{name}") + F.col(f"__o_{name}")).alias(name) for name in totals],
+        (F.col(f"__s_{name}") + F.col(f"__o_{name}")).alias(name) for name in totals],
         *[f"{name}_all" for name in totals])
 
 
