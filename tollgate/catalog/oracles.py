@@ -221,6 +221,29 @@ oracle("dq_tolerance", WITH_ID, """SELECT * FROM (SELECT 'flag_pct' AS measure,
   AS actual, 24.4::DOUBLE AS expected, 0.1::DOUBLE AS tolerance FROM wide UNION ALL SELECT 'fraud_rate',
   CAST(sum(is_fraud) AS DOUBLE) / count(*), 0.2::DOUBLE, 0.05::DOUBLE FROM wide) WHERE abs(actual - expected) >= tolerance""",
        "measure actual:m expected:m tolerance:m")
+_TIERS = "('full', 'no_addr', 'no_card_start', 'card_only', 'singleton')"
+_SUITE = {"not_null:" + c: f"count(*) FILTER ({c} IS NULL)" for c in (
+    "transaction_id", "transaction_dt", "transaction_amt", "account_id", "is_fraud", "txn_day")} | {
+    "accepted:is_fraud": "count(*) FILTER (is_fraud NOT IN (0, 1))",
+    "accepted:account_key_tier": f"count(*) FILTER (account_key_tier NOT IN {_TIERS})",
+    "row_count": "abs(count(*) - (SELECT count(*) FROM keyed))",
+    "day_of_time": "count(*) FILTER (txn_day <> transaction_dt // 86400)",
+    "windows_nest": "count(*) FILTER (txn_count_1h > txn_count_24h OR txn_count_24h > txn_count_7d OR txn_count_7d > prior_txn_count)",
+    "past_only": "count(*) FILTER (prev_transaction_dt >= transaction_dt)",
+    "sum_with_count": "count(*) FILTER ((prior_amt_sum IS NULL) <> (prior_txn_count = 0))",
+    "degraded_is_not_full": "count(*) FILTER (is_degraded_key = (account_key_tier = 'full'))",
+    "positive_amount": "count(*) FILTER (transaction_amt <= 0)",
+    "unique:transaction_id": "max((SELECT count(*) FROM (SELECT transaction_id FROM {0} GROUP BY 1 HAVING count(*) > 1)))",
+    "no_leakage": """max((SELECT count(*) FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY transaction_dt, transaction_id,
+  prior_txn_count) AS rn FROM {0}) WHERE rn = 1 AND (prior_txn_count <> 0 OR txn_count_1h <> 0 OR txn_count_24h <> 0 OR txn_count_7d <> 0
+  OR prior_amt_sum IS NOT NULL)))"""}
+oracle("dq_suite", FEAT + ["""broken AS (SELECT * REPLACE (CASE WHEN transaction_id % 7 = 0 THEN 'unknown' ELSE account_key_tier END AS account_key_tier,
+  CASE WHEN transaction_id % 3 <> 0 THEN transaction_amt END AS transaction_amt,
+  prior_txn_count + CASE WHEN transaction_id % 3 = 0 THEN 1 ELSE 0 END AS prior_txn_count)
+  FROM (SELECT * FROM feat UNION ALL SELECT * FROM feat WHERE transaction_id % 50 = 0))"""],
+       "\nUNION ALL ".join(f"SELECT '{feed}' AS feed, '{name}' AS check_name, {count.format(view)} AS offenders FROM {view}"
+                           for feed, view in (("real", "feat"), ("broken", "broken")) for name, count in _SUITE.items()),
+       "feed check_name offenders:n")
 oracle("sampled_sequences", DIM + lookback("keyed"), """SELECT * FROM feat WHERE account_id IN (SELECT account_id FROM dim
   WHERE txn_count >= 5 ORDER BY md5(account_id), account_id LIMIT 3)""",
        "account_id transaction_dt:n transaction_id:n transaction_amt:m prior_txn_count:n prior_amt_sum:m")

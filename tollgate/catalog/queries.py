@@ -15,6 +15,7 @@ from tollgate.functions import costs as C
 from tollgate.functions import hashing as H
 from tollgate.functions import keys as K
 from tollgate.functions import scalars as S
+from tollgate.operators import audit as A
 from tollgate.operators import bootstrap as B
 from tollgate.operators import design as G
 from tollgate.operators import encoders as E
@@ -387,6 +388,23 @@ def dq_tolerance(spark, d):
     return D.out_of_tolerance(measured, {"flag_pct": (24.4, 0.1), "fraud_rate": (0.2, 0.05)})
 
 
+@query
+def dq_suite(spark, d):
+    """All seventeen checks of the fact table in two passes: of the real feed, and of one with faults of several kinds."""
+    rows = keyed(spark, d)
+    tiers = [K.FULL, K.NO_ADDR, K.NO_CARD_START, K.CARD_ONLY, K.SINGLETON]
+    checks = A.fact_checks(rows.count(), tiers)
+    fact = V.velocity(rows)
+    third = F.col("transaction_id") % 3 == 0
+    broken = (fact.unionByName(fact.where(F.col("transaction_id") % 50 == 0))
+              .withColumn("account_key_tier", F.when(F.col("transaction_id") % 7 == 0, "unknown").otherwise(F.col("account_key_tier")))
+              .withColumn("transaction_amt", F.when(~third, F.col("transaction_amt")))
+              .withColumn("prior_txn_count", F.col("prior_txn_count") + F.when(third, 1).otherwise(0)))
+    found = [(feed, name, n) for feed, df in (("real", fact), ("broken", broken))
+             for name, n in A.audited_write(df, scratch(spark), checks).items()]
+    return spark.createDataFrame(found, "feed string, check_name string, offenders long")
+
+
 @query
 def sampled_sequences(spark, d):
     """Time-ordered rows of three accounts picked by hash, for reading."""
