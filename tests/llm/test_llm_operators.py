@@ -411,6 +411,37 @@ def test_samples_follow_the_path_weights():
         assert abs(seen[path] / n - share) < 5 * math.sqrt(share / n) + 1e-4
 
 
+LONG = ["日本語テキスト🎉" * 40, "x" * 700, "dGhlIHF1aWNr" * 60 + " the " + "ab" * 300, "▁" * 90, "é▁ü" * 70 + "  " + "thethenthe" * 30]
+
+
+@pytest.mark.parametrize("window", [5, 64, 1 << 14])
+def test_a_long_word_is_one_lattice_whatever_the_window(monkeypatch, window):
+    """Words filtered one by one, in windows, get the pieces that the whole lattice gives in one go."""
+    lattice = pieces.Lattice(pieces.read_vocabulary(), 0.7)
+    texts, seeds = [t.encode() for t in LONG], np.arange(len(LONG), dtype=np.uint64) + np.uint64(7)
+    monkeypatch.setattr(pieces, "LONGEST", 1 << 20)
+    whole, sizes = lattice.sample(texts, seeds)
+    monkeypatch.setattr(pieces, "LONGEST", 50)
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    parts, sizes_ = lattice.sample(texts, seeds)
+    assert sizes.tolist() == sizes_.tolist() and whole.tolist() == parts.tolist()
+    ends = np.cumsum(sizes)
+    assert [lattice.text(whole[b - n:b]) for n, b in zip(sizes, ends)] == texts
+
+
+def test_pieces_span_every_place_of_a_long_word(monkeypatch):
+    """Over many seeds a piece crosses each border that a cut of the word could have had."""
+    lattice = pieces.Lattice(pieces.read_vocabulary(), 0.2)
+    monkeypatch.setattr(pieces, "LONGEST", 40)
+    monkeypatch.setattr(pieces, "WINDOW", 16)
+    crossed = set()
+    for seed in range(300):
+        ids, _ = lattice.sample([b"information" * 20], np.array([seed], np.uint64))
+        ends = np.cumsum([len(lattice.surface[i]) for i in ids]) - 1
+        crossed |= set(range(1, 220)) - set(ends.tolist())
+    assert crossed == set(range(1, 220))
+
+
 # ---- near-duplicates --------------------------------------------------------------------------------
 
 def test_golay_keys_lose_no_link():
@@ -568,3 +599,38 @@ def test_statements_agree(spark, sf, name):
 
     ok, note = compare(spark, database(sf), name, sf)
     assert ok, note
+
+
+def test_a_repeated_document_counts_once_in_the_sample(spark):
+    rows = [(i, f"text {i}") for i in range(1, 40)] + [(7, f"copy {j % 3}") for j in range(500)] + [(None, "lost")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] * 2 + [(None, 1)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 1000).collect()
+    assert len({r.doc_id for r in sample}) == len(sample) > 20 and None not in {r.doc_id for r in sample}
+    assert len(toxicity.labelled_sample(docs, labels, 12).collect()) == 12
+    again = toxicity.labelled_sample(docs.repartition(3), labels, 1000).collect()
+    assert {(r.doc_id, r.text, r.toxic) for r in sample} == {(r.doc_id, r.text, r.toxic) for r in again}
+
+
+def test_the_fit_is_a_stationary_point():
+    """Against a dense objective: after the rounds of production its differences in every direction vanish."""
+    rng = np.random.default_rng(4)
+    size, n = 12, 300
+    found = [sorted(rng.choice(size, rng.integers(1, 5), replace=False).tolist()) for _ in range(n)]
+    toxic = np.array([float(rng.random() < (0.8 if 3 in f else 0.2)) for f in found])
+    plain = [f for f in found if 5 in f]
+    swapped = [sorted({6 if x == 5 else x for x in f}) for f in plain]
+    w, bias = toxicity.descend(toxicity.Rows(found), toxic, toxicity.Rows(plain), toxicity.Rows(swapped), size, 1.5, 1e-3)
+
+    def dense(rows):
+        return np.array([[float(c in r) for c in range(size)] for r in rows])
+
+    a, p, q = dense(found), dense(plain), dense(swapped)
+
+    def loss(v):
+        z = a @ v[:size] + v[size]
+        return (np.mean(np.logaddexp(0, z) - toxic * z) + 1.5 * np.mean(((p - q) @ v[:size]) ** 2) + 1e-3 * np.sum(v[:size] ** 2))
+
+    at = np.append(w, bias)
+    gradient = [(loss(at + h) - loss(at - h)) / 2e-5 for h in np.eye(size + 1) * 1e-5]
+    assert np.abs(gradient).max() < 1e-6

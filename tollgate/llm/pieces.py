@@ -7,8 +7,9 @@ numbers are hashes of (seed, row key, word number, step): a row gets the same pi
 batch or neighbours. Words are filtered once per batch and sampled once per occurrence, both in arrays.
 
 A piece of rank r in the vocabulary weighs `-alpha * ln(1 + r)`. Characters that the vocabulary lacks, and space marks that
-stand in the text itself, become byte pieces, so decoding gives back every text exactly. A run of more than `LONGEST` bytes
-without a space is cut into words of that size at character boundaries; the cut adds nothing to the text.
+stand in the text itself, become byte pieces, so decoding gives back every text exactly. A word is one lattice, however long
+it is. Words above `LONGEST` bytes are filtered one by one: their arcs are made for `WINDOW` bytes at a time and made again
+for the way back, so only the forward weights, eight bytes per byte of the word, are held for the whole word.
 
 Null texts are empty; an empty text has no pieces. A null key is a key of its own. Repeated rows get equal pieces.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -30,7 +32,8 @@ from tollgate.llm.common import chunks, mix, slices
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 LEAD = b"\xff"  # stands for the leading space mark inside the lattice; no UTF-8 text has this byte
-LONGEST = 192
+LONGEST = 1024
+WINDOW = 1 << 14
 BATCH_BYTES = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 Vocabulary = tuple[tuple[bytes, ...], tuple[float, ...], tuple[int, ...]]
@@ -80,6 +83,7 @@ class Lattice:
                     ends.append(-1)
                 node = children[node][byte]
             ends[node] = i
+        self.longest = max(len(p) - 2 if p.startswith(MARK) else len(p) for p in pieces)
         inner = [n for n, below in enumerate(children) if below]  # only these need a row
         row = np.zeros(len(children), np.int32) - 1
         row[inner] = np.arange(len(inner), dtype=np.int32)
@@ -106,6 +110,66 @@ class Lattice:
             at, node = at[more], node[more]
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at, node)
 
+    def arcs(self, data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The matching pieces, by length, and for characters without a piece of their own one arc for each of their bytes."""
+        at, length, ids = self.edges(data, left)
+        width = np.where((data < 0x80) | (data == LEAD[0]), 1, np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, 2)))
+        lead = (data & 0xC0) != 0x80
+        covered = np.zeros(len(data), bool)
+        covered[at[length == width[at]]] = True
+        owner = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+        lone = np.flatnonzero(~covered[owner])
+        return (np.concatenate((at, lone)), np.concatenate((length, np.ones(len(lone), np.int64))),
+                np.concatenate((ids, self.byte_ids[data[lone]])))
+
+    def between(self, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and id of the arcs of one word that start in [low, high), which are borders of characters."""
+        part = data[low:high + self.longest + 4]
+        at, length, ids = self.arcs(part, np.arange(len(part), 0, -1))
+        inside = at < high - low
+        return at[inside] + low, (at + length)[inside] + low, ids[inside]
+
+    def long_word(self, word: bytes, key: np.uint64) -> list[int]:
+        """Sampled pieces of one long word, by the same random numbers and order of arcs as `filtered` and `sample` use."""
+        data = np.frombuffer(word, np.uint8)
+        borders = np.flatnonzero((data & 0xC0) != 0x80)
+        cuts = sorted({0, *borders[np.searchsorted(borders, np.arange(0, len(data), WINDOW), "right") - 1].tolist(), len(data)})
+        alpha = [-math.inf] * (len(data) + 1)
+        alpha[0] = 0.0
+        for low, high in itertools.pairwise(cuts):
+            start, end, ids = self.between(data, low, high)
+            order = np.argsort(start, kind="stable")
+            for s, e, w in zip(start[order].tolist(), end[order].tolist(), self.weight[ids[order]].tolist()):
+                if (new := alpha[s] + w) > -math.inf:
+                    more, less = (new, alpha[e]) if new > alpha[e] else (alpha[e], new)
+                    alpha[e] = more + math.log1p(math.exp(less - more))
+        out: list[int] = []
+        numbers: list[float] = []
+        now = len(data)
+        for low, high in reversed(list(itertools.pairwise(cuts))):
+            if now <= low:
+                continue
+            first = int(borders[np.searchsorted(borders, max(low - self.longest, 0), "right") - 1])
+            start, end, ids = self.between(data, first, high)
+            near = np.flatnonzero((end > low) & (end <= high))
+            order = near[np.argsort(end[near], kind="stable")]
+            place = np.searchsorted(end[order], np.arange(low, high + 2)).tolist()
+            start, ids = start[order].tolist(), ids[order].tolist()
+            while now > low:
+                if len(out) == len(numbers):  # the next thousand random numbers
+                    steps = key + np.arange(len(out) + 1, len(out) + 1001, dtype=np.uint64)
+                    numbers += ((mix(steps) >> np.uint64(11)).astype(np.float64) / float(1 << 53)).tolist()
+                rest, taken = numbers[len(out)], None
+                for j in range(place[now - low], place[now - low + 1]):
+                    share = math.exp(alpha[start[j]] + self.weight[ids[j]] - alpha[now])
+                    if share > 0:
+                        taken, rest = j, rest - share
+                        if rest < 0:
+                            break
+                out.append(ids[taken])
+                now = start[taken]
+        return out[::-1]
+
     def filtered(self, tokens: list[bytes]) -> tuple[np.ndarray, ...]:
         """Forward filtering of distinct words: per word its last slot, per edge first slot, id and the sampling table."""
         data = np.frombuffer(b"".join(tokens), np.uint8)
@@ -113,16 +177,7 @@ class Lattice:
         starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         word = np.repeat(np.arange(len(tokens)), sizes)
         inside = np.arange(len(data)) - starts[word]
-        at, length, ids = self.edges(data, sizes[word] - inside)
-        # Characters without a piece of their own: one edge for each of their bytes.
-        width = np.where((data < 0x80) | (data == LEAD[0]), 1, np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, 2)))
-        lead = (data & 0xC0) != 0x80
-        covered = np.zeros(len(data), bool)
-        covered[at[length == width[at]]] = True
-        owner = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
-        lone = np.flatnonzero(~covered[owner])
-        at, length = np.concatenate((at, lone)), np.concatenate((length, np.ones(len(lone), np.int64)))
-        ids = np.concatenate((ids, self.byte_ids[data[lone]]))
+        at, length, ids = self.arcs(data, sizes[word] - inside)
         slot = at + word[at]  # a word of n bytes has n + 1 slots
         end = slot + length
         order = np.lexsort((end, inside[at] + length))
@@ -161,9 +216,14 @@ class Lattice:
         """Pieces of all texts one after another, and the number of pieces of each text."""
         rank: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)  # a new word gets the next number
         which: list[int] = []
+        long: dict[int, bytes] = {}
         counts = []
         for text in texts:
             parts = cut_words(text)
+            for i, part in enumerate(parts if len(text) > LONGEST else ()):
+                if len(part) > LONGEST:
+                    long[len(which) + i] = part
+                    parts[i] = LEAD  # its place among the words
             which.extend(map(rank.__getitem__, parts))
             counts.append(len(parts))
         if not which:
@@ -173,7 +233,11 @@ class Lattice:
         here = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         key = mix(np.repeat(seeds, counts) + number.astype(np.uint64) * STEP)
-        active, now, depth, made = np.arange(len(which)), last[np.array(which)], 0, []
+        apart = {i: np.array(self.long_word(word, key[i]), np.int32) for i, word in long.items()}
+        short = np.ones(len(which), bool)
+        short[list(apart)] = False
+        active, depth, made = np.flatnonzero(short), 0, []
+        now = last[np.array(which)[active]]
         while len(active):
             u = (mix(key[active] + np.uint64(depth + 1)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
             edge = np.searchsorted(table, group[now] + u, side="right")
@@ -184,10 +248,14 @@ class Lattice:
         size = np.zeros(len(which), np.int64)
         for occurrence, _ in made:
             size[occurrence] += 1
+        for i, pieces in apart.items():
+            size[i] = len(pieces)
         stop = np.cumsum(size)
         out = np.empty(int(stop[-1]), np.int32)
         for step, (occurrence, chosen) in enumerate(made):  # drawn from the end of the word backwards
             out[stop[occurrence] - 1 - step] = chosen
+        for i, pieces in apart.items():
+            out[stop[i] - size[i]:stop[i]] = pieces
         return out, np.bincount(here, weights=size, minlength=len(texts)).astype(np.int64)
 
     def text(self, ids: np.ndarray) -> bytes:
@@ -195,22 +263,8 @@ class Lattice:
 
 
 def cut_words(text: bytes) -> list[bytes]:
-    """Words led by the space mark; what continues a word that is too long has no mark."""
-    if not text:
-        return []
-    parts = (LEAD + text.replace(b" ", b" " + LEAD)).split(b" ")
-    if max(map(len, parts)) <= LONGEST:
-        return parts
-    out = []
-    for word in parts:
-        while len(word) > LONGEST:
-            at = LONGEST
-            while word[at] & 0xC0 == 0x80:
-                at -= 1
-            out.append(word[:at])
-            word = word[at:]
-        out.append(word)
-    return out
+    """Words led by the space mark."""
+    return (LEAD + text.replace(b" ", b" " + LEAD)).split(b" ") if text else []
 
 
 @functools.lru_cache(maxsize=2)

@@ -91,13 +91,15 @@ def probability(z: float) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """text and toxic of at most `limit` documents that may be learnt from."""
+    """doc_id, text and toxic of at most `limit` rows that may be learnt from: of equal doc_ids, the row with the least text hash."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(fold(F.col("doc_id"), FOLDS) != 0))
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chosen = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most `limit` numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("row"))
+    return (rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("row").alias("row"))
+            .select("doc_id", F.col("row.text").alias("text"), "toxic"))
 
 
 def tally(sample: DataFrame) -> DataFrame:
