@@ -161,9 +161,24 @@ def test_poisson_weights_have_unit_mean_and_variance(spark):
 def test_salted_join_equals_broadcast_join(spark, how):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(200)] + [(999, None)], "id long, k string")
     keys = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
-    small, salted = skew.join_keys(df, keys, "k", how), skew.join_keys(df, keys, "k", how, limit=1, salts=4)
-    assert small.columns == salted.columns
-    assert sorted(map(repr, small.collect())) == sorted(map(repr, salted.collect()))
+    small, plain, salted = (skew.join_keys(df, keys, "k", how, **kw) for kw in ({}, {"limit": 1}, {"limit": 1, "salts": 4, "hot_rows": 20}))
+    assert small.columns == plain.columns == salted.columns
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, plain.collect())) == sorted(map(repr, salted.collect()))
+
+
+def test_only_keys_of_many_rows_are_salted_and_only_small_tables_broadcast(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "id long, k string")
+    keys = df.select("k").distinct().withColumn("v", F.lit(1))
+
+    def plan(out):
+        return out._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "__salt" in plan(skew.join_keys(df, keys, "k", limit=1, hot_rows=100)) and "__salt" not in plan(skew.join_keys(df, keys, "k", limit=1))
+    assert "broadcast" in plan(skew.join_keys(df, keys, "k")) and "broadcast" not in plan(skew.join_keys(df, keys, "k", limit=1))
+    wide = keys.withColumn("v", F.repeat(F.lit("x"), 1000))
+    size = keys.agg(F.sum(skew.row_bytes(keys))).first()[0]
+    assert wide.agg(F.sum(skew.row_bytes(wide))).first()[0] >= size + 1000 * keys.count()
+    assert skew.join_keys(df, keys, "k", "inner", limit=1, hot_rows=100).count() == 300
 
 
 def test_decile_and_reliability_tables_cover_all_rows(scored):
