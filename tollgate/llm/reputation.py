@@ -76,11 +76,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     host, _ = host_and_path(F.col("url"))
     labels = (outcomes.where("page_id is not null and bad is not null")
               .groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")))
-    hosts = (pages.select("page_id", host.alias("host")).join(labels, "page_id", "left")
-             .groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n"))
-             .withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
-             .withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    # Every level reads the one below more than once, so each is computed once and kept.
+    hosts = pinned(pages.select("page_id", host.alias("host")).join(labels, "page_id", "left")
+                   .groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n"))
+                   .withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
+                   .withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)))
+    domains = pinned(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     bad, good = PRIOR
     overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + bad) / (F.coalesce(F.sum("n"), F.lit(0)) + bad + good)).alias("parent"))
@@ -88,8 +89,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     def mean(level: str) -> Column:
         return F.col(level + "_a") / (F.col(level + "_a") + F.col(level + "_b"))
 
-    top = shrunk(suffixes.withColumn("parent", overall.scalar()), "s").select("suffix", mean("s").alias("parent"))
-    middle = shrunk(domains.join(top, "suffix"), "d").select("domain", mean("d").alias("parent"))
+    top = pinned(shrunk(suffixes.withColumn("parent", overall.scalar()), "s").select("suffix", mean("s").alias("parent")))
+    middle = pinned(shrunk(domains.join(top, "suffix"), "d").select("domain", mean("d").alias("parent")))
     total = F.col("h_a") + F.col("h_b")
     angle = F.asin(F.sqrt(F.col("h_a") / total)) - z / (2 * F.sqrt(total + 1))
     return (shrunk(hosts.join(middle, "domain"), "h")
