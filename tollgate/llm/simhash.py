@@ -218,7 +218,9 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts(df), "key").sortWithinPartitions("key", "fp")
 
-    found = pinned(dealt(classes.select("fp").mapInArrow(keyed, "key bigint, fp bigint"))
+    # Short rows come out of an aggregate in few tasks; their keys are made in as many as the keys are dealt to.
+    spread = classes.select("fp").repartition(parts(classes), "fp")
+    found = pinned(dealt(spread.mapInArrow(keyed, "key bigint, fp bigint"))
                    .mapInArrow(lambda batches: read_runs(batches, most), "a bigint, b bigint, hot boolean"))
     hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
     chains = dealt(hot.mapInArrow(centres, "key bigint, fp bigint")).mapInArrow(chained, "a bigint, b bigint")
