@@ -57,3 +57,16 @@ def test_a_pivoted_block_keeps_rows_and_gaps(spark):
     lines = spark.createDataFrame([(1, 1, 2.0), (1, 1, 3.0), (1, 3, 1.0), (2, 9, 1.0), (None, 2, 4.0)], "k long, slot int, v double")
     got = {r["k"]: tuple(r)[1:] for r in L.pivoted_block(lines, "k", F.col("slot"), "v", 3).collect()}
     assert got == {1: (5.0, None, 1.0), 2: (None, None, None), None: (None, 4.0, None)}
+
+
+def test_late_features_are_never_broadcast(spark, tmp_path):
+    """Four columns of a wide table look small by its compressed bytes, whatever the rows."""
+    rows = spark.range(200).select(F.col("id").alias("transaction_id"), (F.col("id") % 7).cast("string").alias("account_id"),
+                                   (F.col("id") * 977).alias("transaction_dt"), F.col("id").cast("decimal(18,3)").alias("transaction_amt"),
+                                   *[F.lit(None).cast("double").alias(f"v{i}") for i in range(1, 101)])
+    try:
+        out = L.with_late_features(L.bucketed(rows, "wide_hint", str(tmp_path / "wide"), "transaction_id"))
+        plan = plan_of(out)
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and out.count() == 200
+    finally:
+        spark.sql("DROP TABLE IF EXISTS wide_hint")

@@ -33,7 +33,8 @@ def with_late_features(wide: DataFrame, row_id: str = "transaction_id", key: str
     """`wide` with the look-back block; the window never sees the wide columns.
 
     The window runs on four columns of the table, and its result is joined back by the row id. Where ``wide`` is stored in
-    buckets of the row id, only the narrow rows are shuffled: once by account and once by row id.
+    buckets of the row id, only the narrow rows are shuffled: once by account and once by row id. A few columns of a wide table
+    look small to the planner, which takes their share of the compressed bytes; the hint keeps it from broadcasting all their rows.
     """
     looked_back = velocity(wide.select(row_id, key, ts, amt), key, ts, amt).select(row_id, *feature_names())
-    return wide.join(looked_back, row_id)
+    return wide.join(looked_back.hint("merge"), row_id)
